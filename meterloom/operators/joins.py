@@ -165,13 +165,3 @@ def overlap_flag(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
            .withColumn("_hit", F.lit(True)))
     on = list(dict.fromkeys([*keys, *left_id]))
     return left.join(hit, on, "left").withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
-
-
-def sized_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast only when the optimizer's own size estimate is under the bound.
-
-    Above it (or when the estimate is unknown) the frame is returned unhinted
-    and the planner's shuffle join takes over.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= max_bytes else df

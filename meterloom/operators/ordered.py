@@ -40,6 +40,30 @@ def bucket_of(c: Column | str, width: int | Column) -> Column:
     return ((c - F.pmod(c, w)) / w).cast("bigint")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a frame."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def join_dim(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner", *,
+             max_bytes: int = 64 << 20, salts: int = 8) -> DataFrame:
+    """Join readings to a per-key table although one key may hold a third of them.
+
+    The table is broadcast when its size estimate is below `max_bytes`. Beyond
+    that it is copied once per salt and the readings are salted, so a hot key is
+    split over `salts` tasks.
+    """
+    keys = list(keys)
+    if not keys:
+        return df.crossJoin(F.broadcast(dim))  # a key-less aggregate: one row
+    if estimated_bytes(dim) <= max_bytes:
+        return df.join(F.broadcast(dim), keys, how)
+    own = [c for c in df.columns if c not in keys][:3]
+    salted = df.withColumn("_z", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
+    copies = dim.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_z"], how).drop("_z")
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, *,
                  lag: Cols | None = None, lead: Cols | None = None,
                  ffill: Cols | None = None, bfill: Cols | None = None,

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import as_col, ordered_scan
+from .ordered import as_col, join_dim, ordered_scan
 
 
 def value_bucket(v: Column) -> Column:
@@ -49,7 +49,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str],
     freq = (tall.where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_k", "_v")
             .agg(F.count(F.lit(1)).alias("_n")))
     ranked = ordered_scan(freq, [*keys, "_k"], ["_v"], value_bucket(F.col("_v")),
-                          running_sum={"_hi": "_n"}, total={"_N": "_n"})
+                          running_sum={"_hi": "_n"}, total={"_tot": "_n"})
 
     def at(i, k):
         """Value at zero-based index i of column slot k."""
@@ -58,12 +58,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str],
 
     aggs, final = [], []
     for j, (out, k, p) in enumerate(wanted):
-        pos = F.lit(p) * (F.col("_N") - 1)
+        pos = F.lit(p) * (F.col("_tot") - 1)
         aggs += [at(F.floor(pos), k).alias(f"_l{j}"), at(F.ceil(pos), k).alias(f"_u{j}"),
                  F.max(F.when(F.col("_k") == k, pos - F.floor(pos))).alias(f"_f{j}")]
         final.append((F.col(f"_l{j}") + (F.col(f"_u{j}") - F.col(f"_l{j}")) * F.col(f"_f{j}")).alias(out))
     for out, k in counts:
-        aggs.append(F.max(F.when(F.col("_k") == k, F.col("_N"))).alias(f"_c_{out}"))
+        aggs.append(F.max(F.when(F.col("_k") == k, F.col("_tot"))).alias(f"_c_{out}"))
         final.append(F.coalesce(F.col(f"_c_{out}"), F.lit(0)).alias(out))
     return ranked.groupBy(*keys).agg(*aggs).select(*keys, *final)
 
@@ -71,5 +71,4 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str],
 def with_quantiles(df: DataFrame, keys: Sequence[str],
                    spec: Mapping[str, tuple[str | Column, float]]) -> DataFrame:
     """Rows of `df` with their group's quantiles attached (null when none exist)."""
-    q = exact_quantiles(df, keys, spec)
-    return df.join(q, list(keys), "left") if keys else df.crossJoin(q)
+    return join_dim(df, exact_quantiles(df, keys, spec), keys, "left")

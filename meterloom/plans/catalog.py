@@ -78,15 +78,18 @@ class Query:
         return f"SELECT {cols} FROM (\n{self.sql}\n) AS q"
 
 
+NUDGE = 1e-9  # keeps exact decimal halves from rounding apart under summation noise
+
+
 def _spark_cast(c, kind):
     if kind[0] == "d":
-        return F.round(c.cast("double"), int(kind[1:] or 6)) + F.lit(0.0)
+        return F.round(c.cast("double") + F.lit(NUDGE), int(kind[1:] or 6)) + F.lit(0.0)
     return c.cast({"i": "bigint", "s": "string", "b": "boolean"}[kind])
 
 
 def _sql_cast(n, kind):
     if kind[0] == "d":
-        return f"round(CAST({n} AS DOUBLE), {int(kind[1:] or 6)}) + CAST(0 AS DOUBLE)"
+        return f"round(CAST({n} AS DOUBLE) + CAST({NUDGE!r} AS DOUBLE), {int(kind[1:] or 6)}) + CAST(0 AS DOUBLE)"
     return f"CAST({n} AS {dict(i='BIGINT', s='VARCHAR', b='BOOLEAN')[kind]})"
 
 

@@ -25,7 +25,7 @@ def runs_sql(src: str, keys: str, on: str, hold_s: float = HOLD_S, name: str = "
 {name}_a AS (SELECT *, CASE WHEN {on} THEN 1 ELSE 0 END AS st,
    lead(ts_us) OVER (PARTITION BY {keys} ORDER BY ts_us, seq) AS nx FROM {src}),
 {name}_b AS (SELECT *, CASE WHEN st = lag(st) OVER (PARTITION BY {keys} ORDER BY ts_us, seq) THEN 0 ELSE 1 END AS brk,
-   w * coalesce(least(nx - ts_us, {int(hold_s * 1e6)}), 0) / 3.6e9 AS e FROM {name}_a),
+   w * least(coalesce(nx - ts_us, 0), {int(hold_s * 1e6)}) / 3.6e9 AS e FROM {name}_a),
 {name}_c AS (SELECT *, sum(brk) OVER (PARTITION BY {keys} ORDER BY ts_us, seq) AS rid FROM {name}_b),
 {name} AS (SELECT {keys}, rid, min(st) AS state, min(ts_us) AS t_on_us, max(ts_us) AS t_off_us, count(*) AS n_rows,
    sum(e) AS energy_wh FROM {name}_c GROUP BY {keys}, rid)"""
@@ -467,21 +467,21 @@ def w29(t):
     from ..operators.quantiles import value_bucket
 
     f = channel_episodes(t).groupBy("device", "dur_s").agg(F.count(F.lit(1)).alias("n"))
-    r = ordered_scan(f, ["device"], ["dur_s"], value_bucket(F.col("dur_s")), running_sum={"c": "n"}, total={"N": "n"})
-    return r.withColumn("ecdf", F.col("c") / F.col("N"))
+    r = ordered_scan(f, ["device"], ["dur_s"], value_bucket(F.col("dur_s")), running_sum={"c": "n"}, total={"tot": "n"})
+    return r.withColumn("ecdf", F.col("c") / F.col("tot"))
 
 
 # ------------------------------------------------------------------------------ energy
 
 @query("g01_hold_energy", "meter:i ts_us:i e_wh:d cum_wh:d", views="readings", sql="""
-WITH a AS (SELECT *, w * coalesce(least(lead(ts_us) OVER (PARTITION BY meter ORDER BY ts_us, seq) - ts_us, 43200000000), 0) / 3.6e9 AS e_wh FROM readings)
+WITH a AS (SELECT *, w * least(coalesce(lead(ts_us) OVER (PARTITION BY meter ORDER BY ts_us, seq) - ts_us, 0), 43200000000) / 3.6e9 AS e_wh FROM readings)
 SELECT meter, ts_us, e_wh, sum(e_wh) OVER (PARTITION BY meter ORDER BY ts_us, seq) AS cum_wh FROM a""")
 def g01(t):
     return E.cumulative_energy(t.readings, ["meter"], 43200, chunk_us=CH)
 
 
 @query("g02_window_energy", "house:i device:s t_on_us:i energy_wh:d", views="channels mains", ctes=CHANNEL_EP, sql="""
-WITH e AS (SELECT house, ts_us, w * coalesce(least(lead(ts_us) OVER (PARTITION BY house ORDER BY ts_us, seq) - ts_us, 3600000000), 0) / 3.6e9 AS e FROM mains)
+WITH e AS (SELECT house, ts_us, w * least(coalesce(lead(ts_us) OVER (PARTITION BY house ORDER BY ts_us, seq) - ts_us, 0), 3600000000) / 3.6e9 AS e FROM mains)
 SELECT ep.house, ep.device, ep.t_on_us, greatest(coalesce(sum(e.e), 0), 0) AS energy_wh FROM ep LEFT JOIN e
  ON ep.house = e.house AND e.ts_us BETWEEN ep.t_on_us AND ep.t_off_us GROUP BY 1, 2, 3""")
 def g02(t):
@@ -524,7 +524,7 @@ def g06(t):
 
 
 @query("g07_energy_balance", "house:i total_wh:d attributed_wh:d floor_wh:d residual_wh:d residual_share:d", views="channels mains", ctes=CHANNEL_EP, sql="""
-WITH e AS (SELECT house, ts_us, w, coalesce(least(lead(ts_us) OVER (PARTITION BY house ORDER BY ts_us, seq) - ts_us, 3600000000), 0) AS h FROM mains),
+WITH e AS (SELECT house, ts_us, w, least(coalesce(lead(ts_us) OVER (PARTITION BY house ORDER BY ts_us, seq) - ts_us, 0), 3600000000) AS h FROM mains),
 fl AS (SELECT house, quantile_cont(w, 0.1) AS f FROM mains GROUP BY house),
 m AS (SELECT e.house, sum(w * h) / 3.6e9 AS total_wh, sum(f * h) / 3.6e9 AS floor_wh FROM e JOIN fl ON e.house = fl.house GROUP BY e.house),
 a AS (SELECT house, sum(energy_wh) AS attributed_wh FROM ep GROUP BY house)
@@ -540,7 +540,7 @@ def g07(t):
 
 
 @query("g08_energy_share_rank", "house:i device:s kwh:d share:d rank:i annual_kwh:d", views="channels", sql="""
-WITH g AS (SELECT house, device, sum(w * coalesce(least(nx - ts_us, 7200000000), 0)) / 3.6e12 AS kwh, (max(ts_us) - min(ts_us)) / 86400e6 AS days
+WITH g AS (SELECT house, device, sum(w * least(coalesce(nx - ts_us, 0), 7200000000)) / 3.6e12 AS kwh, (max(ts_us) - min(ts_us)) / 86400e6 AS days
  FROM (SELECT *, lead(ts_us) OVER (PARTITION BY house, device ORDER BY ts_us, seq) AS nx FROM channels) GROUP BY 1, 2)
 SELECT house, device, kwh, kwh / sum(kwh) OVER (PARTITION BY house) AS share, rank() OVER (PARTITION BY house ORDER BY kwh DESC) AS rank,
  kwh / days * 365.25 AS annual_kwh FROM g""")
@@ -568,7 +568,7 @@ def g09(t):
 
 @query("g10_observed_vs_mean", "device:s observed_kwh:d own_mean_kwh:d naive_kwh:d", views="devices", sql="""
 WITH g AS (SELECT *, (lead(ts_us) OVER (PARTITION BY device ORDER BY ts_us, seq) - ts_us) / 1e6 AS dt FROM devices),
-s AS (SELECT device, sum(w * least(dt, 600)) / 3.6e6 AS observed_kwh, avg(w) AS mw, sum(least(dt, 600)) AS obs_s, (max(ts_us) - min(ts_us)) / 1e6 AS span FROM g GROUP BY device)
+s AS (SELECT device, sum(w * least(coalesce(dt, 0), 600)) / 3.6e6 AS observed_kwh, avg(w) AS mw, sum(least(coalesce(dt, 0), 600)) AS obs_s, (max(ts_us) - min(ts_us)) / 1e6 AS span FROM g GROUP BY device)
 SELECT device, observed_kwh, mw * obs_s / 3.6e6 AS own_mean_kwh, mw * span / 3.6e6 AS naive_kwh FROM s""")
 def g10(t):
     g = X.gaps(t.devices, ["device"], keep_last=True)
@@ -579,7 +579,7 @@ def g10(t):
 
 
 @query("g11_unknown_share", "house:i unknown_share:d", views="mains", sql="""
-WITH e AS (SELECT house, w, w * coalesce(least(lead(ts_us) OVER (PARTITION BY house ORDER BY ts_us, seq) - ts_us, 3600000000), 0) AS e FROM mains)
+WITH e AS (SELECT house, w, w * least(coalesce(lead(ts_us) OVER (PARTITION BY house ORDER BY ts_us, seq) - ts_us, 0), 3600000000) AS e FROM mains)
 SELECT house, sum(CASE WHEN w > 120 THEN e ELSE 0 END) / sum(e) AS unknown_share FROM e GROUP BY house""")
 def g11(t):
     e = E.hold_energy(t.mains, ["house"], 3600)

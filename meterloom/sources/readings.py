@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import join_dim
+
 
 def normalise_watts(w: Column, missing: Sequence[float] = ()) -> Column:
     """NaN and listed sentinel values become null; Spark would rank NaN above all."""
@@ -53,5 +55,5 @@ def common_span(df: DataFrame, keys: Sequence[str], meter: str, ts: str = "ts_us
     """Cut every meter of a group to the span all of them cover."""
     ends = (df.groupBy(*keys, meter).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
             .groupBy(*keys).agg(F.max("_a").alias("_t0"), F.min("_b").alias("_t1")))
-    cut = df.join(ends, list(keys)) if keys else df.crossJoin(F.broadcast(ends))
+    cut = join_dim(df, ends, keys)
     return cut.where(F.col(ts).between(F.col("_t0"), F.col("_t1"))).drop("_t0", "_t1")
