@@ -31,11 +31,11 @@ def state_runs(df: DataFrame, keys: Sequence[str], mark: Column, *, chunk_us: in
     Rows of one run may be far apart in time unless `max_gap_s` cuts them.
     """
     row = {"ts": "ts_us", **(extra or {})}
-    brk = (lambda p, c: (c["ts"] - p["ts"]) > us(max_gap_s)) if max_gap_s else None
+    brk = (lambda p, c: (c["ts"] - p["ts"]) > us(max_gap_s)) if max_gap_s is not None else None
     r = islands(df, keys, ["ts_us", "seq"], bucket_of("ts_us", chunk_us), row=row, mark=mark,
-                initial=F.lit(initial), breaks=brk, aggs=aggs, hold=("ts_us", "w", us(hold_s)))
+                initial=F.lit(initial), breaks=brk, aggs=aggs, hold=("w", us(hold_s)))
     return r.select(*keys, "state", F.col("first.ts").alias("t_on_us"), F.col("last.ts").alias("t_off_us"),
-                    F.col("next.ts").alias("next_us"), "n_rows", "first", "last",
+                    F.col("next").alias("next_us"), "n_rows", "first", "last",
                     (F.col("hold_wus") / WUS_PER_WH).alias("energy_wh"), *list(aggs or {}))
 
 

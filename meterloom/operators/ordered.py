@@ -140,105 +140,108 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, *,
-            row: Cols, breaks: Callable[[Column, Column], Column] | None = None,
+            row: Cols, breaks: Callable[[Mapping[str, Column], Mapping[str, Column]], Column] | None = None,
             mark: Column | None = None, initial: Column | None = None,
             aggs: Mapping[str, tuple[str, Column]] | None = None,
-            hold: tuple[str, str, int] | None = None) -> DataFrame:
+            hold: tuple[str, int] | None = None) -> DataFrame:
     """Collapse ordered rows to islands in two passes over (key, chunk) groups.
 
     A new island starts where `breaks(previous row, this row)` holds or where
     the state changes. `mark` is the state of a row, null where the row leaves
     it undecided (hysteresis band): it is carried forward, from `initial` at
     the start of a key. `row` names the values `breaks` may see. `aggs` maps an
-    output to (sum|min|max|first|last, input). `hold=(ts, w, cap_us)` adds
-    `hold_wus`: watts times the gap to the key's next row, capped.
+    output to (sum|min|max|first|last, input). `hold=(w, cap)` adds `hold_wus`:
+    w times the gap on the first order column to the key's next row, capped.
 
-    Output: keys, `first` and `last` structs of `row`, `n_rows`, `state`
-    (with `mark`), `next` (the row struct after the island, null at the end).
+    Output: keys, `first` and `last` structs of `row`, `n_rows`, `state` (with
+    `mark`), `next` (first order value after the island, null at the end).
     """
-    keys, order = list(keys), list(order)
+    keys, order, names = list(keys), list(order), list(row)
     aggs = dict(aggs or {})
-    breaks = breaks or (lambda p, c: F.lit(False))
     has_state = mark is not None
-    ins = [F.struct(*[as_col(c).alias(n) for n, c in row.items()]).alias("_r"),
-           F.struct(*[F.col(o) for o in order]).alias("_o"),
-           (mark if has_state else F.lit(None)).cast("int").alias("_m"),
-           *[c.alias(f"_a_{n}") for n, (_, c) in aggs.items()]]
-    if hold:
-        ts, w, cap = hold
-        ins += [as_col(ts).alias("_ht"), as_col(w).cast("double").alias("_hw")]
+    never = F.lit(False)
+    oc = [f"_o{i}" for i in range(len(order))]
     grp = [*keys, "_chunk"]
-    base = df.select(*keys, chunk.cast("bigint").alias("_chunk"), *ins)
-
-    win = W.partitionBy(*grp).orderBy("_o")
-    upto = win.rowsBetween(W.unboundedPreceding, W.currentRow)
+    base = df.select(
+        *keys, chunk.cast("bigint").alias("_chunk"), *[F.col(o).alias(c) for o, c in zip(order, oc)],
+        *[as_col(c).alias(f"_r_{n}") for n, c in row.items()], *[c.alias(f"_a_{n}") for n, (_, c) in aggs.items()],
+        *([mark.cast("int").alias("_m")] if has_state else []), *([as_col(hold[0]).cast("double").alias("_hw")] if hold else []))
+
+    def fields(prefix):
+        return {n: F.col(prefix + n) for n in names}
+
+    # pass 1: islands inside a chunk
+    win = W.partitionBy(*grp).orderBy(*oc)
+    upto, prior = win.rowsBetween(W.unboundedPreceding, 0), win.rowsBetween(W.unboundedPreceding, -1)
+    cols = [F.row_number().over(win).alias("_k"), F.lead("_o0").over(win).alias("_nx")]
+    if breaks:
+        cols += [F.lag(f"_r_{n}").over(win).alias(f"_p_{n}") for n in names]
     if has_state:
-        base = base.withColumn("_m", F.last("_m", True).over(upto))
-    base = base.select("*", F.lag(F.struct("_r", "_m")).over(win).alias("_p"),
-                       F.lead("_r").over(win).alias("_nx"))
-    new = F.col("_p").isNull() | breaks(F.col("_p._r"), F.col("_r"))
+        cols += [F.last("_m", True).over(upto).alias("_fm"), F.last("_m", True).over(prior).alias("_pm")]
+    base = base.select("*", *cols)
+    new = F.col("_k") == 1
+    if breaks:
+        new = new | F.coalesce(breaks(fields("_p_"), fields("_r_")), F.lit(True))
     if has_state:
-        new = new | ~F.col("_p._m").eqNullSafe(F.col("_m"))
-    base = base.withColumn("_id", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(upto))
-    part = [F.count(F.lit(1)).alias("n_rows"), F.min_by("_r", "_o").alias("first"),
-            F.max_by("_r", "_o").alias("last"), F.min("_o").alias("_o"), F.max("_m").alias("_m"),
-            F.max(F.col("_nx").isNull()).alias("_tail"),
-            F.max_by("_nx", F.col("_o")).alias("next")]
+        new = new | ~F.col("_pm").eqNullSafe(F.col("_fm"))
+    base = base.select("*", F.sum(new.cast("int")).over(upto).alias("_id"))
     one = {"sum": F.sum, "min": F.min, "max": F.max}
-    for n, (kind, _) in aggs.items():
-        c = F.col(f"_a_{n}")
-        part.append((F.min_by(c, F.col("_o")) if kind == "first" else
-                     F.max_by(c, F.col("_o")) if kind == "last" else one[kind](c)).alias(n))
+
+    def fold(kind, c, k):
+        return F.min_by(c, k) if kind == "first" else F.max_by(c, k) if kind == "last" else one[kind](c)
+
+    k = F.col("_k")
+    part = [F.count(F.lit(1)).alias("n_rows"), F.max(F.col("_nx").isNull()).alias("_tail"), F.max_by("_nx", k).alias("_nx"),
+            *[F.min_by(c, k).alias(c) for c in oc], *[F.min_by(f"_r_{n}", k).alias(f"_f_{n}") for n in names],
+            *[F.max_by(f"_r_{n}", k).alias(f"_l_{n}") for n in names],
+            *[fold(kind, F.col(f"_a_{n}"), k).alias(f"_u_{n}") for n, (kind, _) in aggs.items()]]
+    if has_state:
+        part.append(F.max("_fm").alias("_m"))
     if hold:
-        nxt = F.lead("_ht").over(win)
-        base = base.withColumn("_he", F.col("_hw") * capped(nxt - F.col("_ht"), int(cap)))
-        part += [F.sum(F.coalesce("_he", F.lit(0.0))).alias("_e"),
-                 F.max_by("_hw", F.col("_o")).alias("_tw"), F.max_by("_ht", F.col("_o")).alias("_tt"),
-                 F.min_by("_ht", F.col("_o")).alias("_ft")]
+        e = F.col("_hw") * capped(F.col("_nx") - F.col("_o0"), hold[1])
+        part += [F.sum(F.coalesce(e, F.lit(0.0))).alias("_e"), F.max_by("_hw", k).alias("_tw"), F.max_by("_o0", k).alias("_tt")]
     runs = base.groupBy(*grp, "_id").agg(*part)
 
-    # second pass: only runs at a chunk edge can go on in the neighbour chunk
-    near = 2 if has_state else 1
-    edge = (F.col("_id") <= near) | F.col("_tail")
-    runs = runs.withColumn("_g", F.when(edge, F.lit(-1)).otherwise(F.col("_chunk")))
+    # pass 2: only islands at a chunk edge can go on in the neighbour chunk
+    edge = (F.col("_id") <= (2 if has_state else 1)) | F.col("_tail")
+    runs = runs.select("*", F.when(edge, F.lit(-1)).otherwise(F.col("_chunk")).alias("_g"))
     g2 = [*keys, "_g"]
-    win2 = W.partitionBy(*g2).orderBy("_o")
-    upto2 = win2.rowsBetween(W.unboundedPreceding, W.currentRow)
+    win2 = W.partitionBy(*g2).orderBy(*oc)
+    upto2, prior2 = win2.rowsBetween(W.unboundedPreceding, 0), win2.rowsBetween(W.unboundedPreceding, -1)
+    cols = [F.row_number().over(win2).alias("_k2"), F.lag("_chunk").over(win2).alias("_qc"), F.lead("_o0").over(win2).alias("_n2")]
+    if breaks:
+        cols += [F.lag(f"_l_{n}").over(win2).alias(f"_q_{n}") for n in names]
     if has_state:
-        init = initial if initial is not None else F.lit(0)
-        runs = runs.withColumn("_s", F.coalesce(F.last("_m", True).over(upto2), init.cast("int")))
-    else:
-        runs = runs.withColumn("_s", F.lit(0))
-    if hold:
-        gap = capped(F.lead("_ft").over(win2) - F.col("_tt"), int(cap))
-        runs = runs.withColumn("_e", F.col("_e") + F.when(
-            F.col("_tail"), F.coalesce(F.col("_tw") * gap, F.lit(0.0))).otherwise(F.lit(0.0)))
-    runs = runs.select("*", F.lag(F.struct("_chunk", "last", "_m", "_s")).over(win2).alias("_q"),
-                       F.lead("first").over(win2).alias("_n2"))
-    same = F.col("_q._chunk") == F.col("_chunk")
+        init = (initial if initial is not None else F.lit(0)).cast("int")
+        cols += [F.coalesce(F.last("_m", True).over(upto2), init).alias("_s"), F.lag("_m").over(win2).alias("_qm"),
+                 F.coalesce(F.last("_m", True).over(prior2), init).alias("_qs")]
+    runs = runs.select("*", *cols)
+    same = F.col("_qc") == F.col("_chunk")
+    if has_state:
+        same = (same & F.col("_qm").isNotNull()) | (F.col("_qs") != F.col("_s"))
+    cut = F.coalesce(breaks(fields("_q_"), fields("_f_")), F.lit(True)) if breaks else never
+    runs = runs.select("*", F.sum(((F.col("_k2") == 1) | F.coalesce(same, never) | cut).cast("int")).over(upto2).alias("_id2"))
+    k2 = F.col("_k2")
+    fin = [F.sum("n_rows").alias("n_rows"), F.max_by(F.when(F.col("_tail"), F.col("_n2")).otherwise(F.col("_nx")), k2).alias("next"),
+           *[F.min_by(f"_f_{n}", k2).alias(f"_f_{n}") for n in names], *[F.max_by(f"_l_{n}", k2).alias(f"_l_{n}") for n in names],
+           *[fold(kind, F.col(f"_u_{n}"), k2).alias(f"_u_{n}") for n, (kind, _) in aggs.items()]]
     if has_state:
-        same = same & F.col("_q._m").isNotNull()
-    new2 = (F.col("_q").isNull() | same | (F.col("_q._s") != F.col("_s"))
-            | breaks(F.col("_q.last"), F.col("first")))
-    runs = (runs.withColumn("next", F.when(F.col("_tail"), F.col("_n2")).otherwise(F.col("next")))
-            .withColumn("_id2", F.sum(F.coalesce(new2, F.lit(True)).cast("int")).over(upto2)))
-    fin = [F.min_by("first", "_o").alias("first"), F.max_by("last", "_o").alias("last"),
-           F.sum("n_rows").alias("n_rows"), F.max_by("next", F.col("_o")).alias("next"),
-           F.max("_s").alias("state")]
-    for n, (kind, _) in aggs.items():
-        fin.append((F.min_by(n, F.col("_o")) if kind == "first" else
-                    F.max_by(n, F.col("_o")) if kind == "last" else one[kind](n)).alias(n))
+        fin.append(F.max("_s").alias("state"))
     if hold:
-        fin.append(F.sum("_e").alias("hold_wus"))
-    out = runs.groupBy(*g2, "_id2").agg(*fin).drop("_g", "_id2")
-    return out if has_state else out.drop("state")
+        tail = F.when(F.col("_tail"), F.coalesce(F.col("_tw") * capped(F.col("_n2") - F.col("_tt"), hold[1]), F.lit(0.0))).otherwise(F.lit(0.0))
+        fin.append(F.sum(F.col("_e") + tail).alias("hold_wus"))
+    out = runs.groupBy(*g2, "_id2").agg(*fin)
+    return out.select(*keys, F.struct(*[F.col(f"_f_{n}").alias(n) for n in names]).alias("first"),
+                      F.struct(*[F.col(f"_l_{n}").alias(n) for n in names]).alias("last"), "n_rows", "next",
+                      *(["state"] if has_state else []), *[F.col(f"_u_{n}").alias(n) for n in aggs],
+                      *(["hold_wus"] if hold else []))
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int | Column, *,
                     chunk_us: int = 32 * DAY_US, overlapping: bool = False,
                     aggs: Mapping[str, tuple[str, Column]] | None = None,
                     extra: Cols | None = None,
-                    veto: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+                    veto: Callable | None = None) -> DataFrame:
     """Join intervals whose distance is at most `gap`; output keys, start, end, n, aggs.
 
     `overlapping=True` compares with the running end of all earlier intervals,

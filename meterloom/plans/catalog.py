@@ -110,7 +110,7 @@ def query(name: str, out: str, sql: str | None = None, views: str = "", ctes: st
         if text is not None:
             with_ = [VIEWS[v] for v in views.split()] + ([ctes.strip().rstrip(",")] if ctes.strip() else [])
             if with_:
-                head = "WITH " + ",\n".join(with_)
+                head = ("WITH RECURSIVE " if "UNION ALL SELECT gw." in text or "FROM walk" in text or "FROM gw JOIN" in text else "WITH ") + ",\n".join(with_)
                 body = text.strip()
                 text = head + (",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
         if name in CATALOG:

@@ -19,6 +19,7 @@ def build_session(app: str = "meterloom", master: str | None = None,
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.sql.parquet.aggregatePushdown", "true")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.ui.enabled", "false"))
     if master:
         b = b.master(master).config("spark.driver.memory", memory)
