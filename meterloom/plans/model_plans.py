@@ -32,7 +32,7 @@ calm AS (SELECT cal.*, w > lim AS m FROM cal JOIN p95 ON cal.house = p95.house A
 """ + runs_sql("calm", "house, device", "m", name="sr") + """,
 sig AS (SELECT house, device, quantile_cont(CASE WHEN m THEN w END, 0.5) AS on_w, quantile_cont(CASE WHEN m THEN w END, 0.1) AS on_p10_w, quantile_cont(CASE WHEN m THEN w END, 0.25) AS on_p25_w,
  quantile_cont(CASE WHEN m THEN w END, 0.9) AS on_p90_w, sum(w) * 3600 / 3.6e6 AS cal_energy_kwh FROM calm GROUP BY 1, 2),
-dw AS (SELECT house, device, quantile_cont(n_rows * 3600.0, 0.1) AS dwell_p10_s, quantile_cont(n_rows * 3600.0, 0.5) AS dwell_p50_s, quantile_cont(n_rows * 3600.0, 0.9) AS dwell_p90_s, count(*) AS n_cal_eps
+dw AS (SELECT house, device, quantile_cont(n_rows * 3600e0, 0.1) AS dwell_p10_s, quantile_cont(n_rows * 3600e0, 0.5) AS dwell_p50_s, quantile_cont(n_rows * 3600e0, 0.9) AS dwell_p90_s, count(*) AS n_cal_eps
  FROM sr WHERE state = 1 AND n_rows >= 2 GROUP BY 1, 2)"""
 
 
