@@ -164,7 +164,8 @@ def step_classes(df: DataFrame, profiles: DataFrame, keys: Sequence[str], *, min
     return d.select(*df.columns, F.when(best["d"] < within * best["l"], best["device"]).alias("device"))
 
 
-def nearest_other(marks: DataFrame, label: str, mark_id: str, features: Sequence[str], *, per_label: int, seed: int = 0) -> DataFrame:
+def nearest_other(marks: DataFrame, label: str, mark_id: str, features: Sequence[str], *, per_label: int, seed: int = 0,
+                  by_hash: bool = True) -> DataFrame:
     """Leave-one-out nearest mark by summed absolute log ratios.
 
     The library is the operator's own fixed-size subsample (`per_label` marks of
@@ -172,8 +173,8 @@ def nearest_other(marks: DataFrame, label: str, mark_id: str, features: Sequence
     """
     r = F.row_number().over(W.partitionBy(label).orderBy("_h", mark_id))
     # hash order without a per-label sort of everything: keep candidates below a threshold rank per hash bucket
-    m = marks.withColumn("_h", F.xxhash64(F.lit(seed), mark_id))
-    pre = m.withColumn("_p", F.pmod(F.col("_h"), F.lit(64)))
+    m = marks.withColumn("_h", F.xxhash64(F.lit(seed), mark_id) if by_hash else F.col(mark_id))
+    pre = m.withColumn("_p", F.pmod(F.xxhash64("_h"), F.lit(64)))
     few = (pre.select("*", F.row_number().over(W.partitionBy(label, "_p").orderBy("_h", mark_id)).alias("_rp")).where(F.col("_rp") <= per_label)
            .select("*", r.alias("_rk")).where(F.col("_rk") <= per_label))
     lib = few.select(F.col(label).alias("pred"), F.col(mark_id).alias("_oid"), *[F.col(f).alias(f"_{f}") for f in features])
