@@ -193,8 +193,8 @@ def m30(t):
 
 
 @query("m30_nearest_vector", "label:i n:i hits:i", sql="""
-WITH c AS (SELECT label, list_transform(range(1, 65), k -> list_avg(list_transform(list(embedding), v -> CAST(v[k] AS DOUBLE)))) AS mu FROM embeddings GROUP BY label),
-d AS (SELECT e.vec_id, e.label, c.label AS pred, list_sum(list_transform(range(1, 65), k -> abs(CAST(e.embedding[k] AS DOUBLE) - c.mu[k]))) AS dist FROM embeddings e CROSS JOIN c)
+WITH c AS (SELECT label, list_transform(range(1, 65), lambda k: list_avg(list_transform(list(embedding), lambda v: CAST(v[k] AS DOUBLE)))) AS mu FROM embeddings GROUP BY label),
+d AS (SELECT e.vec_id, e.label, c.label AS pred, list_sum(list_transform(range(1, 65), lambda k: abs(CAST(e.embedding[k] AS DOUBLE) - c.mu[k]))) AS dist FROM embeddings e CROSS JOIN c)
 SELECT label, count(*) AS n, count(*) FILTER (pred = label) AS hits FROM (SELECT vec_id, label, min_by(pred, (round(dist, 9), pred)) AS pred FROM d GROUP BY 1, 2) GROUP BY label""")
 def m30_vec(t):
     """Nearest label centroid in L1; the centroids are one row per label."""
