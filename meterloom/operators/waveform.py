@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ordered import bucket_of
+from .ordered import bucket_of, join_dim, ordered_scan
 
 CYCLE = 500  # fixed value: samples of one mains cycle
 CLEAN_V = 400.0  # fixed value: largest plausible voltage
@@ -21,27 +21,28 @@ def cycles(cap: DataFrame, size: int = CYCLE, clean_v: float = CLEAN_V) -> DataF
     return g.where(F.col("n") == size).select("capture", "cycle", "power_w", "env", (F.col("vmax") < clean_v).alias("clean"))
 
 
-def pick_cycles(cyc: DataFrame, *, status: str = "status", head: float = 0.5, tail: float = 0.5, env_share: float = 0.5, least: int = 6, most: int = 40) -> DataFrame:
+def pick_cycles(cyc: DataFrame, *, status: str = "status", head: float = 0.5, tail: float = 0.5, env_share: float = 0.5, least: int = 6, most: int = 40,
+                cycles_per_chunk: int = 1 << 18) -> DataFrame:
     """Cycles of the settled part of a capture with enough current.
 
     An off-on capture keeps its later part, an on-off capture its earlier one.
     Fewer than `least` strong cycles fall back to all clean ones; more than
-    `most` are thinned at even spacing. Cycles of one capture are few.
+    `most` are thinned at even spacing.
     """
-    c = W.partitionBy("capture")
-    n = F.max("cycle").over(c) + 1
-    d = cyc.withColumn("_n", n)
+    d = join_dim(cyc, cyc.groupBy("capture").agg((F.max("cycle") + 1).alias("_n")), ["capture"])
     lo = F.when(F.col(status).contains("off-on"), F.floor(F.col("_n") * head)).otherwise(F.lit(0))
     hi = F.when(F.col(status).contains("on-off"), F.floor(F.col("_n") * tail)).otherwise(F.col("_n"))
     d = d.where((F.col("cycle") >= lo) & (F.col("cycle") < hi))
-    d = d.withColumn("_strong", F.col("clean") & (F.col("env") > env_share * F.max("env").over(c)))
-    d = d.withColumn("_ns", F.sum(F.col("_strong").cast("int")).over(c))
+    d = join_dim(d, d.groupBy("capture").agg(F.max("env").alias("_top")), ["capture"])
+    d = d.withColumn("_strong", F.col("clean") & (F.col("env") > env_share * F.col("_top")))
+    d = join_dim(d, d.groupBy("capture").agg(F.count_if("_strong").alias("_ns")), ["capture"])
     d = d.where(F.when(F.col("_ns") >= least, F.col("_strong")).otherwise(F.col("clean")))
-    d = d.withColumn("_k", F.row_number().over(c.orderBy("cycle")) - 1).withColumn("_m", F.count(F.lit(1)).over(c)).where(F.col("_m") >= least)
+    d = ordered_scan(d, ["capture"], ["cycle"], bucket_of("cycle", cycles_per_chunk), row_number="_k", total={"_m": F.lit(1)})
+    d = d.withColumn("_k", F.col("_k") - 1).where(F.col("_m") >= least)
     # even spacing: keep k when it is floor(j * (m - 1) / (most - 1)) for some j
     j = F.ceil(F.col("_k") * (most - 1) / (F.col("_m") - 1))
     keep = (F.col("_m") <= most) | (F.floor(j * (F.col("_m") - 1) / (most - 1)) == F.col("_k"))
-    return d.where(keep).drop("_n", "_strong", "_ns", "_k", "_m")
+    return d.where(keep).select(*cyc.columns)
 
 
 def sync_average(cap: DataFrame, chosen: DataFrame, size: int = CYCLE, least: int = 4) -> DataFrame:

@@ -246,3 +246,12 @@ def m21(t):
     g = t.devices.groupBy("device").agg(F.avg(F.when(F.col("w") > 30, F.col("w"))).alias("mu"), F.stddev_pop(F.when(F.col("w") <= 30, F.col("w"))).alias("sd"))
     g = g.join(exact_quantiles(t.devices, ["device"], {"fl": ("w", 0.1)}), "device")
     return g.select("device", *C.separability(F.col("mu"), F.col("fl"), F.col("sd")))
+
+
+@query("o06_session_draws", "house:i device:s k:i draw:i n_kept:i n_flagged:i max_slot:i")
+def o06(t):
+    """Draws with replacement until k unflagged sessions, at most max(4k, 8) tries."""
+    ep = channel_episodes(t).select(*EP_COLS)
+    cov = PR.cover_share(ep, ep, ["house"], 2.0, bucket_us=4 * HB)
+    d = C.draw_sessions(cov, KEYS, "flagged", (1, 3, 5), 3, 20260922)
+    return d.groupBy(*KEYS, "k", "draw").agg(F.count(F.lit(1)).alias("n_kept"), F.count_if("flagged").alias("n_flagged"), F.max("slot").alias("max_slot"))
