@@ -133,7 +133,7 @@ def column_names(n: int, known: Sequence[str] = ("powerallphases",)) -> list[str
 
 
 def read_day_files(spark: SparkSession, glob: str, n_columns: int, zone: str = "UTC") -> DataFrame:
-    files = spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return parse_day_files(files, n_columns, zone)
 
 
