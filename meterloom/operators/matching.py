@@ -38,7 +38,7 @@ def match_onsets(truth: DataFrame, pred: DataFrame, keys: Sequence[str], tau_us:
     g_off, p_on, p_off.
     """
     keys = list(keys)
-    ev = cut_lineage(_events(truth, keys, 0).unionByName(_events(pred, keys, 1)))  # read three times below
+    ev = cut_lineage(_events(truth, keys, 0).unionByName(_events(pred, keys, 1)))  # onsets only, read three times below
     comp = islands(ev, keys, ["t", "side", "id"], bucket_of("t", chunk_us), row={"t": "t"},
                    breaks=lambda p, c: (c["t"] - p["t"]) > tau_us)
     comp = cut_lineage(comp.select(*keys, F.col("first.t").alias("c0"), F.col("last.t").alias("c1"), F.col("n_rows").alias("size")))

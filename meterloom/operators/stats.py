@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .episodes import gaps, numbered, sample_episodes, with_previous
 from .ordered import DAY_US, bucket_of, join_dim
 from .quantiles import exact_quantiles, with_quantiles
@@ -57,6 +58,7 @@ def on_thresholds(df: DataFrame, keys: Sequence[str], *, floor_w: float = NOISE_
     base = base.select("*", F.when(few, F.lit(floor_w)).otherwise(half).alias("thr_on_w"),
                        F.coalesce(F.bround("p50", 1), F.lit(0.0)).alias("p50_on_w"),
                        F.when(few, "noise_floor").otherwise("half_p50").alias("method"))
+    base = cut_lineage(base)  # one row per channel, read twice below
     on = (join_dim(df, base.select(*keys, "thr_on_w"), keys)
           .groupBy(*keys).agg(F.count_if(F.col("w") > F.col("thr_on_w")).alias("_on")))
     return (base.join(on, list(keys))
@@ -109,6 +111,7 @@ def channel_battery(df: DataFrame, keys: Sequence[str], *, gap_samples: int = 2,
                         {"floor_w": ("w", 0.05), "p50_on_w": ("_ab", 0.5)})
     base = base.join(q, keys, "left").join(cadence(df, keys, chunk_us=chunk_us), keys, "left")
     base = base.withColumn("thr_on_w", F.coalesce(F.greatest(F.lit(NOISE_FLOOR_W), 0.5 * F.col("p50_on_w")), F.lit(NOISE_FLOOR_W)))
+    base = cut_lineage(base)  # one row per channel, read three times below
     d = join_dim(df.where("w is not null"), base.select(*keys, "thr_on_w"), keys)
     share = d.groupBy(*keys).agg(F.avg((F.col("w") > F.col("thr_on_w")).cast("int")).alias("on_share"))
     ep = sample_episodes(d, keys, F.col("w") > F.col("thr_on_w"), gap_samples=gap_samples, chunk_us=chunk_us)
@@ -153,7 +156,7 @@ def psi(new: DataFrame, ref: DataFrame, keys: Sequence[str], value: str = "w", b
     """Population stability index of `new` against quantile bins of `ref`."""
     keys = list(keys)
     edges = exact_quantiles(ref, keys, {f"e{i}": (value, i / bins) for i in range(1, bins)})
-    edges = edges.select(*keys, F.array(*[f"e{i}" for i in range(1, bins)]).alias("_edges"))
+    edges = cut_lineage(edges.select(*keys, F.array(*[f"e{i}" for i in range(1, bins)]).alias("_edges")))  # one row per key, read three times
 
     def share(df, out):
         hit = F.size(F.filter("_edges", lambda e: e <= F.col(value)))

@@ -12,6 +12,7 @@ from ..operators.joins import overlap_flag, points_in
 from ..operators.ordered import DAY_US, bucket_of, join_dim, ordered_scan
 from ..operators.quantiles import exact_quantiles
 from ..operators.stats import prf
+from ..session import cut_lineage
 from .catalog import query
 from .join_plans import EP_COLS, HB
 from .series_plans import CH, CHANNEL_EP, DWELL_S, H, HOLD_S, MERGE_S, channel_episodes, episodes_sql, hyst_sql
@@ -48,7 +49,7 @@ def rec(sql_ctes, tail):
 
 def truth_pred(t):
     pred = X.anchor_episodes(t.channels, KEYS, 40.0, min_dwell_s=DWELL_S, merge_gap_s=MERGE_S, hold_s=HOLD_S, chunk_us=CH)
-    return channel_episodes(t).select(*EP_COLS), pred.select(*EP_COLS)
+    return cut_lineage(channel_episodes(t).select(*EP_COLS)), cut_lineage(pred.select(*EP_COLS))  # matched and counted
 
 
 def matched(t, band=True):

@@ -12,7 +12,8 @@ from ..operators import resample as RS
 from ..operators import sampling as SA
 from ..operators import stats as ST
 from ..operators import waveform as V
-from ..operators.ordered import DAY_US, bucket_of, islands, ordered_scan
+from ..operators.ordered import DAY_US, bucket_of, islands, join_dim, ordered_scan
+from ..session import cut_lineage
 from ..operators.quantiles import exact_quantiles
 from ..sources.readings import common_span, drop_null_ts, normalise_watts, unpivot_channels
 from .catalog import query
@@ -25,16 +26,15 @@ thr AS (SELECT house, device, round_even(greatest(5, 0.5 * quantile_cont(CASE WH
 SELECT t.house, t.device, thr AS thr_on_w, e.n AS n_ep, e.p AS dur_p50, e.s AS energy_wh FROM thr t JOIN (SELECT house, device, count(*) AS n, quantile_cont(dur_s, 0.5) AS p, sum(energy_wh) AS s FROM ep GROUP BY 1, 2) e ON t.house = e.house AND t.device = e.device""")
 def flagship(t):
     """Half-median threshold, episodes above it and their energy, per channel."""
-    from ..operators.ordered import join_dim
-
     k = ["house", "device"]
-    thr = ST.on_thresholds(t.channels, k, min_samples=1).select(*k, "thr_on_w")
+    q = exact_quantiles(t.channels.where("w > 5"), k, {"p50": ("w", 0.5)})
+    thr = q.select(*k, F.bround(F.greatest(F.lit(5.0), 0.5 * F.col("p50")), 1).alias("thr_on_w"))
     d = join_dim(t.channels, thr, k)
-    runs = X.state_runs(d, k, X.on_mark(F.col("w") > F.col("thr_on_w")), hold_s=7200, chunk_us=CH, aggs={"thr": ("max", F.col("thr_on_w"))}).where("state = 1")
-    th = runs.groupBy(*k).agg(F.max("thr").alias("thr_on_w"))
-    ep = X.finish_episodes(runs, k, 3600.0, 21600.0, CH)
-    e = ep.groupBy(*k).agg(F.sum("energy_wh").alias("energy_wh"))
-    return exact_quantiles(ep, k, {"dur_p50": ("dur_s", 0.5)}, {"n_ep": "dur_s"}).join(e, k).join(th, k)
+    runs = X.state_runs(d, k, X.on_mark(F.col("w") > F.col("thr_on_w")), hold_s=7200, chunk_us=CH, aggs={"thr_on_w": ("max", F.col("thr_on_w"))}).where("state = 1")
+    m = X.merge_intervals(runs, k, "t_on_us", "t_off_us", X.us(21600), chunk_us=8 * CH, aggs={"energy_wh": ("sum", F.col("energy_wh")), "thr_on_w": ("max", F.col("thr_on_w"))})
+    ep = cut_lineage(m.withColumn("dur_s", (F.col("t_off_us") - F.col("t_on_us")) / 1e6).where("dur_s >= 3600"))  # episodes only, read twice
+    e = ep.groupBy(*k).agg(F.sum("energy_wh").alias("energy_wh"), F.max("thr_on_w").alias("thr_on_w"))
+    return exact_quantiles(ep, k, {"dur_p50": ("dur_s", 0.5)}, {"n_ep": "dur_s"}).join(e, k)
 
 
 # ---------------------------------------------------------------- projections and predicates

@@ -122,7 +122,7 @@ def parse_day_files(files: DataFrame, n_columns: int, zone: str = "UTC", *, path
     of the file-name date plus the line number. A day is at most 86 400 lines."""
     day = F.to_date(F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})", 1))
     t0 = first_us if first_us is not None else F.unix_micros(F.to_utc_timestamp(day.cast("timestamp"), zone))
-    rows = files.select(path, t0.alias("_t0"), F.posexplode(F.split(F.rtrim(content), "\n")).alias("_i", "_line"))
+    rows = files.select(path, t0.alias("_t0"), F.posexplode(F.split(F.regexp_replace(content, r"\s+$", ""), "\n")).alias("_i", "_line"))
     cells = F.split("_line", ",")
     return rows.select(path, (F.col("_t0") + F.col("_i") * 1_000_000).alias("ts_us"), *[number(F.get(cells, F.lit(i))).alias(n) for i, n in enumerate(column_names(n_columns))])
 
