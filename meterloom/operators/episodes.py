@@ -6,11 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .joins import next_after, points_in
+from .joins import last_before, next_after, points_in
 from .ordered import (DAY_US, as_col, bucket_of, halo_window, islands, merge_intervals,
-                      ordered_scan, row_halo, time_halo)
+                      ordered_scan, row_halo)
 
 S = 1_000_000
 WUS_PER_WH = 3.6e9
@@ -295,28 +294,37 @@ def anchored_windows(runs: DataFrame, keys: Sequence[str], dur_s: Column | float
 
 
 def dense_start(df: DataFrame, keys: Sequence[str], need_rows: int, span_s: float, *,
-                leading: bool = False) -> DataFrame:
-    """First stamp whose trailing `span_s` (or leading, by option) holds `need_rows` rows."""
+                leading: bool = False, chunk_us: int = DAY_US) -> DataFrame:
+    """First stamp whose trailing `span_s` (or leading, by option) holds `need_rows` rows.
+
+    The count is a difference of row numbers: the far end of each window is
+    looked up once, so the cost does not grow with the rows per window.
+    """
     span = us(span_s)
-    h = time_halo(df.select(*keys, "ts_us"), "ts_us", span, 0 if leading else span, span if leading else 0)
-    win = W.partitionBy(*keys, "_chunk").orderBy("ts_us")
-    frame = win.rangeBetween(0, span) if leading else win.rangeBetween(-span, 0)
-    return (h.withColumn("_n", F.count(F.lit(1)).over(frame)).where("_own")
-            .where(F.col("_n") >= need_rows).groupBy(*keys).agg(F.min("ts_us").alias("dense_us")))
+    n = numbered(df, keys, chunk_us).select(*keys, "ts_us", "i")
+    far = n.select(*keys, F.col("ts_us").alias("t0"), F.col("i").alias("i0"), (F.col("ts_us") + (span if leading else -span)).alias("ts_us"))
+    if leading:
+        c = last_before(far, n, keys, ["i"], chunk_us=chunk_us, prefix="f_").withColumn("_n", F.col("f_i") - F.col("i0") + 1)
+    else:
+        c = next_after(far, n, keys, ["i"], chunk_us=chunk_us, prefix="f_").withColumn("_n", F.col("i0") - F.col("f_i") + 1)
+    return c.where(F.col("_n") >= need_rows).groupBy(*keys).agg(F.min("t0").alias("dense_us"))
 
 
 def best_window(df: DataFrame, keys: Sequence[str], span_s: float, value: Column, *,
-                max_share: float | None = None, on: Column | None = None) -> DataFrame:
+                max_share: float | None = None, on: Column | None = None, chunk_us: int = DAY_US) -> DataFrame:
     """Start of the highest-sum window [t, t + span) among row starts, earliest on ties.
 
-    `max_share` skips windows whose ON share exceeds it.
+    `max_share` skips windows whose ON share exceeds it. Sums are differences of
+    running totals.
     """
-    span = us(span_s)
-    d = df.select(*keys, "ts_us", value.alias("_v"), (on if on is not None else F.lit(False)).cast("int").alias("_on"))
-    h = time_halo(d, "ts_us", span, 0, span)
-    frame = W.partitionBy(*keys, "_chunk").orderBy("ts_us").rangeBetween(0, span - 1)
-    h = h.select(*keys, "ts_us", "_own", F.sum("_v").over(frame).alias("sum_w"),
-                 F.avg("_on").over(frame).alias("on_share"), F.count(F.lit(1)).over(frame).alias("n_rows")).where("_own")
+    keys = list(keys)
+    d = df.select(*keys, "ts_us", "seq", F.coalesce(value, F.lit(0.0)).alias("_v"), (on if on is not None else F.lit(False)).cast("int").alias("_on"))
+    d = ordered_scan(d, keys, ["ts_us", "seq"], bucket_of("ts_us", chunk_us), running_sum={"_cv": "_v", "_co": "_on"}, row_number="_i")
+    start = d.select(*keys, F.col("ts_us").alias("t0"), (F.col("_cv") - F.col("_v")).alias("_v0"), (F.col("_co") - F.col("_on")).alias("_o0"), (F.col("_i") - 1).alias("_i0"),
+                     (F.col("ts_us") + us(span_s) - 1).alias("ts_us"))
+    e = last_before(start, d, keys, ["_cv", "_co", "_i"], chunk_us=chunk_us, prefix="e")
+    n = F.col("e_i") - F.col("_i0")
+    h = e.select(*keys, F.col("t0").alias("ts_us"), (F.col("e_cv") - F.col("_v0")).alias("sum_w"), ((F.col("e_co") - F.col("_o0")) / n).alias("on_share"), n.alias("n_rows"))
     if max_share is not None:
         h = h.where(F.col("on_share") <= max_share)
     best = F.max_by(F.struct("ts_us", "sum_w", "on_share", "n_rows"), F.struct(F.col("sum_w"), -F.col("ts_us")))

@@ -60,7 +60,10 @@ def _struct_of(df: DataFrame):
 
 def last_before(left: DataFrame, right: DataFrame, keys: Sequence[str], payload: Sequence[str], *,
                 ts: str = "ts_us", chunk_us: int = DAY_US, prefix: str = "r_") -> DataFrame:
-    """As-of backward without an age limit: a carried forward fill over the union."""
+    """As-of backward without an age limit: a carried forward fill over the union.
+
+    Among right rows of one stamp the largest payload wins (`next_after`: the smallest).
+    """
     keys = list(keys)
     pay = F.struct(F.col(ts).alias("_t"), *[F.col(c) for c in payload])
     r = right.select(*keys, F.col(ts).alias("_t"), F.lit(0).alias("_side"), pay.alias("_pay"),
@@ -68,7 +71,7 @@ def last_before(left: DataFrame, right: DataFrame, keys: Sequence[str], payload:
     lf = left.select(*keys, F.col(ts).alias("_t"), F.lit(1).alias("_side"),
                      F.lit(None).cast(r.schema["_pay"].dataType).alias("_pay"),
                      F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
-    out = ordered_scan(lf.unionByName(r), keys, ["_t", "_side"], bucket_of("_t", chunk_us),
+    out = ordered_scan(lf.unionByName(r), keys, ["_t", "_side", "_pay"], bucket_of("_t", chunk_us),
                        ffill={"_x": "_pay"}).where("_side = 1")
     return out.select("_left.*", F.col("_x._t").alias(prefix + "ts_us"),
                       *[F.col(f"_x.{c}").alias(prefix + c) for c in payload])
@@ -86,7 +89,7 @@ def next_after(left: DataFrame, right: DataFrame, keys: Sequence[str], payload:
     lf = left.select(*keys, F.col(ts).alias("_t"), F.lit(1).alias("_side"),
                      F.lit(None).cast(r.schema["_pay"].dataType).alias("_pay"),
                      F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
-    out = ordered_scan(lf.unionByName(r), keys, ["_t", "_side"], bucket_of("_t", chunk_us),
+    out = ordered_scan(lf.unionByName(r), keys, ["_t", "_side", "_pay"], bucket_of("_t", chunk_us),
                        bfill={"_x": "_pay"}).where("_side = 1")
     return out.select("_left.*", F.col("_x._t").alias(prefix + "ts_us"),
                       *[F.col(f"_x.{c}").alias(prefix + c) for c in payload])

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from .episodes import us
 from .joins import last_before, next_after, overlap_flag, overlap_join, points_in
-from .ordered import DAY_US, bucket_of, islands
+from .ordered import DAY_US, join_dim
 from .quantiles import exact_quantiles
 
 # fixed values of the session-supervised decoder
@@ -77,7 +77,7 @@ def pairwise_additivity(ep: DataFrame, mains: DataFrame, level: DataFrame, keys:
          .groupBy(*keys, "a", "b", *SPAN).agg(F.avg("w").alias("obs"), F.count("w").alias("_n")).where(F.col("_n") >= min_rows))
     la = level.select(F.col("device").alias("a"), F.col("mu_w").alias("_ma"))
     lb = level.select(F.col("device").alias("b"), F.col("mu_w").alias("_mb"))
-    o = o.join(la, "a").join(lb, "b").withColumn("pred_sum", F.col("_ma") + F.col("_mb")).withColumn("ratio", F.col("obs") / F.col("pred_sum"))
+    o = join_dim(join_dim(o, la, ["a"]), lb, ["b"]).withColumn("pred_sum", F.col("_ma") + F.col("_mb")).withColumn("ratio", F.col("obs") / F.col("pred_sum"))
     return exact_quantiles(o, ["a", "b", "pred_sum"], {"obs_p50": ("obs", 0.5), "ratio_p50": ("ratio", 0.5)}, {"n_overlaps": "obs"})
 
 

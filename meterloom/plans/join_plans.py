@@ -174,14 +174,15 @@ def j14(t):
 
 
 PRESS_SQL = """
-WITH pr AS (SELECT house, device, ts_us AS press_us FROM channels WHERE seq % 4 = 0),
+WITH pr AS (SELECT house, device, ts_us AS press_us FROM channels WHERE w < 12),
 c AS (SELECT pr.*, max(CASE WHEN ep.t_on_us < press_us AND ep.t_off_us > press_us THEN 1 ELSE 0 END) AS already, min(CASE WHEN ep.t_on_us >= press_us AND ep.t_on_us - press_us <= 14400000000 THEN ep.t_on_us END) AS nx
  FROM pr LEFT JOIN ep ON pr.house = ep.house AND pr.device = ep.device GROUP BY pr.house, pr.device, press_us),
 l AS (SELECT house, device, press_us, CASE WHEN already = 1 THEN 'already_on' WHEN nx IS NOT NULL THEN 'new_activation' ELSE 'uncovered' END AS mode, CASE WHEN already = 1 THEN 0 ELSE (nx - press_us) / 1e6 END AS lat_s FROM c)"""
 
 
 def presses(t):
-    return t.channels.where("seq % 4 = 0").select("house", "device", F.col("ts_us").alias("press_us"))
+    """Low readings stand for logged button presses."""
+    return t.channels.where("w < 12").select("house", "device", F.col("ts_us").alias("press_us"))
 
 
 @query("j15_press_alignment", "house:i device:s press_us:i mode:s lat_s:d", views="channels", ctes=CHANNEL_EP, sql=PRESS_SQL + "SELECT * FROM l")
@@ -191,7 +192,7 @@ def j15(t):
 
 
 @query("j15_missed_activations", "device:s n:i missed:i", views="channels", ctes=CHANNEL_EP, sql="""
-WITH pr AS (SELECT house, device, ts_us AS press_us FROM channels WHERE seq % 4 = 0)
+WITH pr AS (SELECT house, device, ts_us AS press_us FROM channels WHERE w < 12)
 SELECT device, count(*) AS n, count(*) FILTER (NOT EXISTS (SELECT 1 FROM pr WHERE pr.house = ep.house AND pr.device = ep.device AND press_us BETWEEN t_on_us - 14400000000 AND t_on_us + 1800000000)) AS missed FROM ep GROUP BY device""")
 def j15_missed(t):
     ep = channel_episodes(t).select(*EP_COLS)
@@ -210,7 +211,7 @@ def j16(t):
     return PR.cycle_features(channel_episodes(t).select(*EP_COLS), runs, ["house"], ["device", "t_on_us"], lead_s=60, bucket_us=4 * HB)
 
 
-BILL = "bills AS (SELECT o_orderkey, o_orderdate AS d0, o_orderdate + INTERVAL 30 DAY AS d1, o_totalprice FROM orders WHERE o_orderstatus = 'P')"
+BILL = "bills AS (SELECT o_orderkey, o_orderdate AS d0, o_orderdate + INTERVAL 30 DAY AS d1, o_totalprice FROM orders)"
 
 
 @query("j17_bill_periods", "o_orderkey:i billed:d metered:d2 n_days:i", ctes=BILL, sql="""
@@ -219,7 +220,7 @@ SELECT o_orderkey, o_totalprice AS billed, coalesce(sum(e), 0) AS metered, count
 def j17(t):
     """Metered energy inside [from, from + 30 days); the meter side is summed per day first."""
     day = t.lineitem.groupBy(F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("ts_us")).agg((F.sum("l_extendedprice") / 1000).alias("e")).withColumn("k", F.lit(0))
-    b = t.orders.where("o_orderstatus = 'P'").select(F.lit(0).alias("k"), "o_orderkey", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("d0"))
+    b = t.orders.select(F.lit(0).alias("k"), "o_orderkey", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("d0"))
     # many bills share a date: sum each distinct period once
     per = b.select("k", "d0").distinct().withColumn("d1", F.col("d0") + 30 * DAY_US)
     s = points_in(day, per, ["k"], start="d0", end="d1", closed="left", bucket_us=30 * DAY_US).groupBy("d0").agg(F.sum("e").alias("metered"), F.count(F.lit(1)).alias("n_days"))
@@ -232,7 +233,7 @@ SELECT o_orderkey, CAST(strftime(m, '%Y%m') AS BIGINT) AS ym, date_diff('day', g
 FROM (SELECT *, unnest([CAST(date_trunc('month', d0) AS TIMESTAMP), CAST(date_trunc('month', d0) AS TIMESTAMP) + INTERVAL 1 MONTH]) AS m FROM bills) WHERE date_diff('day', greatest(d0, m), least(d1, m + INTERVAL 1 MONTH)) > 0""")
 def j18(t):
     d0 = F.to_date("o_orderdate")
-    b = t.orders.where("o_orderstatus = 'P'").select("o_orderkey", d0.alias("d0"), F.date_add(d0, 30).alias("d1"))
+    b = t.orders.select("o_orderkey", d0.alias("d0"), F.date_add(d0, 30).alias("d1"))
     m0 = F.trunc("d0", "month")
     x = b.select("*", F.explode(F.array(m0, F.add_months(m0, 1))).alias("m"))
     days = F.datediff(F.least("d1", F.add_months("m", 1)), F.greatest("d0", "m"))

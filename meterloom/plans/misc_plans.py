@@ -66,12 +66,11 @@ def p03(t):
 @query("p04_local_clock", "hr:i n:i max_off_h:d", sql="""
 SELECT hour(l) AS hr, count(*) AS n, max(abs(epoch_us(l) - epoch_us(ts)) / 3.6e9) AS max_off_h FROM (SELECT o_orderdate + to_hours(o_orderkey % 24) AS ts, o_orderdate + to_hours(o_orderkey % 24)
  + CASE WHEN o_orderdate + to_hours(o_orderkey % 24) >= s AND o_orderdate + to_hours(o_orderkey % 24) < e THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS l
- FROM orders JOIN (SELECT y, CAST(make_date(y, 3, 31) - CAST(dayofweek(make_date(y, 3, 31)) AS INTEGER) AS TIMESTAMP) + INTERVAL 1 HOUR AS s, CAST(make_date(y, 10, 31) - CAST(dayofweek(make_date(y, 10, 31)) AS INTEGER) AS TIMESTAMP) + INTERVAL 1 HOUR AS e FROM range(1990, 2010) r(y)) z ON z.y = year(o_orderdate)
- WHERE year(o_orderdate) >= 1996) GROUP BY 1""")
+ FROM orders JOIN (SELECT y, CAST(make_date(y, 3, 31) - CAST(dayofweek(make_date(y, 3, 31)) AS INTEGER) AS TIMESTAMP) + INTERVAL 1 HOUR AS s, CAST(CASE WHEN y = 1995 THEN make_date(1995, 10, 22) ELSE make_date(y, 10, 31) - CAST(dayofweek(make_date(y, 10, 31)) AS INTEGER) END AS TIMESTAMP) + INTERVAL 1 HOUR AS e FROM range(1990, 2010) r(y)) z ON z.y = year(o_orderdate)) GROUP BY 1""")
 def p04(t):
     """UTC to a named zone with summer time; the offset never exceeds an hour."""
     ts = F.unix_micros(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 24) * H
-    d = t.orders.where(F.year("o_orderdate") >= 1996).select(ts.alias("ts_us")).withColumn("l", SC.local_us("ts_us", "Europe/London"))
+    d = t.orders.select(ts.alias("ts_us")).withColumn("l", SC.local_us("ts_us", "Europe/London"))
     return d.groupBy(SC.hour_of("l").alias("hr")).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("l") - F.col("ts_us")) / 3.6e9).alias("max_off_h"))
 
 
@@ -148,14 +147,14 @@ LABEL_OF_SQL = "[" + ", ".join(f"'{x}'" for x in LABEL_LIST) + "][p_partkey % 9
 CANON_SQL = """CASE WHEN regexp_matches(n, 'kettle') THEN 'kettle' WHEN regexp_matches(n, 'microwave') THEN 'microwave' WHEN regexp_matches(n, 'fridge|freezer') THEN 'fridge'
  WHEN regexp_matches(n, 'washing machine|washer dryer|clothes washer') THEN 'washing_machine' WHEN regexp_matches(n, 'dish ?washer') THEN 'dishwasher' END"""
 LAB_SQL = f"""
-lab0 AS (SELECT p_partkey AS meter, p_size AS building, {LABEL_OF_SQL} AS label FROM part),
+lab0 AS (SELECT p_partkey AS meter, p_partkey // 40 AS building, {LABEL_OF_SQL} AS label FROM part),
 lab1 AS (SELECT *, regexp_replace(regexp_replace(lower(trim(label)), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g') AS n, coalesce(nullif(trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unlabeled') AS slug FROM lab0),
 lab AS (SELECT *, {CANON_SQL} AS canonical FROM lab1)"""
 
 
 def part_labels(t):
     lab = F.element_at(F.array(*map(F.lit, LABEL_LIST)), (F.col("p_partkey") % 9 + 1).cast("int"))
-    d = t.part.select(F.col("p_partkey").alias("meter"), F.col("p_size").alias("building"), lab.alias("label"))
+    d = t.part.select(F.col("p_partkey").alias("meter"), bucket_of("p_partkey", 40).alias("building"), lab.alias("label"))
     return d.withColumn("canonical", L.canonical_label(F.col("label")))
 
 
@@ -185,10 +184,10 @@ def l04(t):
     return L.parse_label_lines(lines).groupBy("meter", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("l04_plug_table", "page:i meter:i label:s", sql="SELECT p_size AS page, p_partkey AS meter, p_name AS label FROM part")
+@query("l04_plug_table", "page:i meter:i label:s", sql="SELECT p_partkey // 20 AS page, p_partkey AS meter, p_name AS label FROM part")
 def l04_plugs(t):
     item = F.concat(F.col("p_partkey").cast("string"), F.lit(": "), F.col("p_name"), F.lit(" (30 days)"))
-    text = t.part.groupBy(F.col("p_size").alias("page"), (F.col("p_partkey") % 8).alias("x")).agg(F.array_join(F.collect_list(item), "\n").alias("value"))
+    text = t.part.groupBy(bucket_of("p_partkey", 20).alias("page")).agg(F.array_join(F.collect_list(item), "\n").alias("value"))  # 20 plugs a page
     return L.parse_plug_table(text)
 
 
@@ -279,10 +278,10 @@ def u01(t):
 
 
 @query("u02_label_sets", "kind:s n:i", sql="""
-WITH a AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 3 = 0)
+WITH a AS (SELECT DISTINCT p_name FROM part WHERE p_size <= 3), b AS (SELECT DISTINCT p_name FROM part WHERE p_size >= 48)
 SELECT 'both' AS kind, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'a only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'b only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def u02(t):
-    a, b = t.part.where("p_partkey % 2 = 0").select("p_name"), t.part.where("p_partkey % 3 = 0").select("p_name")
+    a, b = t.part.where("p_size <= 3").select("p_name"), t.part.where("p_size >= 48").select("p_name")
     n = lambda d, k: d.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(k))
     return n(a.intersect(b), "both").unionByName(n(a.subtract(b), "a only")).unionByName(n(b.subtract(a), "b only"))
 

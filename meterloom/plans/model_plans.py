@@ -100,7 +100,7 @@ def m10(t):
 
 
 @query("m11_pre_press_level", "house:i device:s press_us:i level_w:d", views="channels mains", sql="""
-WITH pr AS (SELECT house, device, ts_us AS press_us FROM channels WHERE seq % 4 = 0)
+WITH pr AS (SELECT house, device, ts_us AS press_us FROM channels WHERE w < 12)
 SELECT pr.house, pr.device, press_us, CASE WHEN count(m.w) >= 3 THEN quantile_cont(m.w, 0.5) ELSE 0 END AS level_w FROM pr LEFT JOIN mains m ON m.house = pr.house AND m.ts_us >= press_us - 7200000000 AND m.ts_us < press_us - 600000000 GROUP BY 1, 2, 3""")
 def m11(t):
     p = presses(t)

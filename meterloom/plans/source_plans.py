@@ -62,14 +62,14 @@ def s05(t):
 
 
 @query("s06_day_files", "path:s ts_us:i powerallphases:d col_1:d", sql="""
-WITH a AS (SELECT event_type, CAST(ts AS DATE) AS d, value, event_id, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS i FROM events)
-SELECT event_type || '/' || d || '.csv' AS path, epoch_us(CAST(d AS TIMESTAMP)) + i * 1000000 AS ts_us, value AS powerallphases, CASE WHEN event_id % 2 = 0 THEN event_id END AS col_1 FROM a""")
+WITH a AS (SELECT user_id, CAST(ts AS DATE) AS d, value, event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS i FROM events)
+SELECT user_id || '/' || d || '.csv' AS path, epoch_us(CAST(d AS TIMESTAMP)) + i * 1000000 AS ts_us, value AS powerallphases, CASE WHEN event_id % 2 = 0 THEN event_id END AS col_1 FROM a""")
 def s06(t):
     """Day files rebuilt from the stream, with a ragged second column (`col_1`)."""
     line = F.when(F.col("event_id") % 2 == 0, F.concat_ws(",", F.col("value").cast("string"), F.col("event_id").cast("string"))).otherwise(F.col("value").cast("string"))
     day = F.to_date("ts")
-    files = t.events.select("event_type", day.alias("d"), F.struct("ts", "event_id", line.alias("l")).alias("x")).groupBy("event_type", "d").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # one day of one meter
-    files = files.select(F.concat(F.col("event_type"), F.lit("/"), F.col("d").cast("string"), F.lit(".csv")).alias("path"), F.array_join(F.transform("xs", lambda x: x["l"]), "\n").alias("content"))
+    files = t.events.select("user_id", day.alias("d"), F.struct("ts", "event_id", line.alias("l")).alias("x")).groupBy("user_id", "d").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # one day of one meter
+    files = files.select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("d").cast("string"), F.lit(".csv")).alias("path"), F.array_join(F.transform("xs", lambda x: x["l"]), "\n").alias("content"))
     return TX.parse_day_files(files, 2)
 
 

@@ -323,7 +323,7 @@ def m35(t):
 
 
 @query("m36_press_classes", "house:i device:s presses:i cover:d lat_p50:d lat_p90:d acts:i miss_frac:d class:s", views="channels", ctes=CHANNEL_EP, sql="""
-WITH pr AS (SELECT house, device, ts_us AS press_us FROM channels WHERE seq % 4 = 0),
+WITH pr AS (SELECT house, device, ts_us AS press_us FROM channels WHERE w < 12),
 c AS (SELECT pr.house, pr.device, press_us, max(CASE WHEN ep.t_on_us < press_us AND ep.t_off_us > press_us THEN 1 ELSE 0 END) AS al, min(CASE WHEN ep.t_on_us >= press_us AND ep.t_on_us - press_us <= 14400000000 THEN ep.t_on_us END) AS nx
  FROM pr LEFT JOIN ep ON pr.house = ep.house AND pr.device = ep.device GROUP BY 1, 2, 3),
 l AS (SELECT house, device, count(*) AS presses, avg(CASE WHEN al = 1 OR nx IS NOT NULL THEN 1.0 ELSE 0.0 END) AS cover, quantile_cont(CASE WHEN al = 0 AND nx > press_us THEN (nx - press_us) / 1e6 END, 0.5) AS lat_p50,
