@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
 from .ordered import bucket_of, join_dim, ordered_scan
 
 CYCLE = 500  # fixed value: samples of one mains cycle
@@ -29,6 +30,7 @@ def pick_cycles(cyc: DataFrame, *, status: str = "status", head: float = 0.5, ta
     Fewer than `least` strong cycles fall back to all clean ones; more than
     `most` are thinned at even spacing.
     """
+    cyc = cut_lineage(cyc)  # one row per cycle, read several times
     d = join_dim(cyc, cyc.groupBy("capture").agg((F.max("cycle") + 1).alias("_n")), ["capture"])
     lo = F.when(F.col(status).contains("off-on"), F.floor(F.col("_n") * head)).otherwise(F.lit(0))
     hi = F.when(F.col(status).contains("on-off"), F.floor(F.col("_n") * tail)).otherwise(F.col("_n"))
@@ -58,6 +60,7 @@ def sync_average(cap: DataFrame, chosen: DataFrame, size: int = CYCLE, least: in
 
 def harmonics(avg: DataFrame, nh: int = 25, size: int = CYCLE) -> DataFrame:
     """Magnitude of harmonics 1..nh of the averaged current, in dB to the first."""
+    avg = cut_lineage(avg)  # one cycle per capture
     m = avg.groupBy("capture").agg(F.avg("i").alias("_m"))
     d = avg.join(m, "capture").withColumn("_x", F.col("i") - F.col("_m")).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(nh))))
     a = 2 * math.pi * F.col("h") * F.col("phase") / size
