@@ -52,7 +52,6 @@ def detect_configs(mains: DataFrame, sig: DataFrame, floor: DataFrame, configs:
     carries both, so no configuration is a separate pass.
     """
     keys = list(keys)
-    spark = mains.sparkSession
     d = X.numbered(mains, keys, chunk_us)
     d = join_dim(d, floor.select(*keys, "floor_w"), keys).withColumn("x", F.col("w") - F.col("floor_w"))
     parts = []
@@ -65,11 +64,12 @@ def detect_configs(mains: DataFrame, sig: DataFrame, floor: DataFrame, configs:
             half = win // 2
             v = X.rolling(d.withColumnRenamed("i", "_i0"), keys, half, win - 1 - half, {"_med": F.percentile("x", 0.5)}, chunk_us=chunk_us,
                           rows_per_chunk=rows_per_chunk).withColumn("x", F.col("x") - F.col("_med")).drop("_i0", "_med")
-        table = F.broadcast(spark.createDataFrame([(*c, win) for c in cfg], COLUMNS + ", win int"))  # the registry rows
+        names = [c.split()[0] for c in COLUMNS.split(", ")]
+        table = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip([*names, "win"], [*c, win])]) for c in cfg]))
         p = F.when(F.col("stat") == "p25", F.col("on_p25_w")).when(F.col("stat") == "p90", F.col("on_p90_w")).otherwise(F.col("on_w"))
         weak = F.col("relative") & (F.col("on_w") < F.col("floor_w"))
         base = F.greatest("on_w", F.lit(5.0))
-        s = (sig.join(floor.select(*keys, "floor_w"), keys).crossJoin(table)
+        s = (sig.join(floor.select(*keys, "floor_w"), keys).select("*", table.alias("_e")).select("*", "_e.*")
              .where((F.col("baseline_rows") == F.col("win")) | weak).where(~(weak & (F.col("win") == 0)))
              .withColumn("_p", p).where("_p > 0")
              .select(*keys, "device", "exp", "min_rows", "merge_rows", "dwell_prior", "dwell_p10_s", "dwell_p90_s",

@@ -119,8 +119,8 @@ def param_grid(t, ks=(1, 3, 5), n_draws=2):
     fl = cut_lineage(mains_floor(t))
     est = C.params_from_sessions(use, fl, ["house"], [*KEYS, "k", "draw"], 600.0)
     yield_ = drawn.groupBy(*KEYS, "k", "draw").agg(F.count(F.lit(1)).alias("valid"))
-    grid = ep.select(*KEYS).distinct().crossJoin(t.spark.range(len(ks) * n_draws).select(
-        F.element_at(F.array(*map(F.lit, ks)), (F.floor(F.col("id") / n_draws) + 1).cast("int")).alias("k"), (F.col("id") % n_draws).cast("int").alias("draw")))  # K x draws literals
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("draw")) for k in ks for r in range(n_draws)]))
+    grid = ep.select(*KEYS).distinct().select(*KEYS, cells.alias("z")).select(*KEYS, "z.*")
     j = grid.join(est, [*KEYS, "k", "draw"], "left").join(yield_, [*KEYS, "k", "draw"], "left").join(fl, "house")
     return j.select(*KEYS, "k", "draw", F.coalesce("mu_w", "floor_w").alias("mu_w"), F.coalesce("sd_w", F.lit(5.0)).alias("sd_w"),
                     F.coalesce("p_stay", F.lit(1.0 - 600.0 / 3600.0)).alias("p_stay"), F.coalesce("valid", F.lit(0)).alias("valid"), F.col("mu_w").isNull().alias("never_claims"), "floor_w")
@@ -233,7 +233,9 @@ def m20(t):
         pred = pred.unionByName(a)
     pred = cut_lineage(pred)
     run = ["arm", "cadence_s", "k", "draw"]
-    truth = ep.crossJoin(F.broadcast(pred.select(*run).distinct()))  # arms x cadences x K x draws: a dozen rows
+    every = [(a, c, k, r) for c in (600, 3600) for a, k, r in [("anchor", 0, 0), *[("sessions", k, r) for k in (1, 3) for r in (0, 1)]]]
+    z = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(run, e)]) for e in every]))
+    truth = ep.select("*", z.alias("z")).select(*EP_COLS, "z.*")
     m = M.match_onsets(truth, pred, [*run, *KEYS], 3 * H, chunk_us=CH).where(M.in_dwell_band())
     s = M.score(truth, pred, m, run)
     return s.groupBy("arm", "cadence_s", "k").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"))
