@@ -371,3 +371,29 @@ def m40(t):
     cls = F.broadcast(t.spark.createDataFrame([("click", "burst"), ("view", "duty"), ("error", "program"), ("signup", "electronics"), ("purchase", "burst")], "device string, class string"))  # five literal rows
     g = channel_episodes(t).groupBy(*KEYS).agg(F.count_if(F.col("t_on_us") < SPLIT).alias("n_pre")).join(cls, "device")
     return g.withColumn("listed", F.col("class").isin("burst", "program") & (F.col("n_pre") >= 13))
+
+
+@query("m23_event_experiments", "exp:s n_events:i n_margin:i n_other:i n_correct:i accuracy:d", views="channels mains", ctes=CHANNEL_EP + "," + LIB_SQL, sql="""
+WITH v(exp, m, pl, pr) AS (VALUES ('E14', 0.0, false, false), ('E15', 1.3, false, false), ('E16', 0.0, false, false), ('E17', 0.0, true, false), ('E18', 0.0, false, true), ('E19', 1.3, true, true)),
+c AS (SELECT v.exp, rk.house, rk.device, rk.t_on_us, rk.t_on_us + CAST(round(dwell_s * 1e6) AS BIGINT) AS t_off_us, CASE WHEN m > 0 AND coalesce(d2, d) / greatest(d, 1e-9) < m THEN 'margin' WHEN pl AND on_w < 0.6 * level_w THEN 'plausibility'
+ WHEN pr AND NOT (dwell_s >= 0.5 * d10 AND dwell_s <= 2 * d90) THEN 'dwell' END AS reject FROM rk, v WHERE k = 1),
+x AS (SELECT c.*, reject IS NULL AND EXISTS (SELECT 1 FROM ep WHERE ep.house = c.house AND ep.device = c.device AND ep.t_on_us < c.t_off_us AND c.t_on_us < ep.t_off_us) AS ok FROM c)
+SELECT exp, count(*) AS n_events, count(*) FILTER (reject = 'margin') AS n_margin, count(*) FILTER (reject IS NOT NULL AND reject <> 'margin') AS n_other, count(*) FILTER (ok) AS n_correct,
+ count(*) FILTER (ok) / greatest(count(*) FILTER (reject IS NULL), 1) AS accuracy FROM x GROUP BY exp""")
+def m23_events(t):
+    """Event-then-classify variants: one generic detector, six rejection settings."""
+    ep = cut_lineage(channel_episodes(t).select(*EP_COLS, "dur_s"))
+    on = exact_quantiles(t.channels.where("w > 30"), KEYS, {"on_w": ("w", 0.5)})
+    dw = exact_quantiles(ep, KEYS, {"dwell_p10_s": ("dur_s", 0.1), "dwell_p50_s": ("dur_s", 0.5), "dwell_p90_s": ("dur_s", 0.9)})
+    lib = cut_lineage(on.join(dw, KEYS))
+    runs = X.hysteresis_runs(t.mains, ["house"], 50.0, 25.0, chunk_us=CH, aggs={"s": ("sum", F.col("w"))}).where("n_rows >= 2")
+    ev = cut_lineage(runs.select("house", "t_on_us", "t_off_us", ((F.col("t_off_us") - F.col("t_on_us")) / 1e6).alias("dwell_s"), (F.col("s") / F.col("n_rows")).alias("level_w")))
+    out = None
+    for exp, margin, plausible, prior in SW.EVENT_EXPERIMENTS:
+        c = C.classify_events(ev, lib, ["house"], ["t_on_us"], margin=margin, plausible=plausible, dwell_prior=prior).withColumn("exp", F.lit(exp))
+        out = c if out is None else out.unionByName(c)
+    f = overlap_flag(out, ep.select(*EP_COLS), KEYS, left_span=("t_on_us", "t_off_us"), right_span=("t_on_us", "t_off_us"), out="hit", left_id=["exp", "t_on_us"], bucket_us=4 * HB)
+    ok = F.col("reject").isNull() & F.col("hit")
+    g = f.groupBy("exp").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("reject") == "margin").alias("n_margin"), F.count_if(F.col("reject").isNotNull() & (F.col("reject") != "margin")).alias("n_other"),
+                             F.count_if(ok).alias("n_correct"), F.count_if(F.col("reject").isNull()).alias("n_attr"))
+    return g.withColumn("accuracy", F.col("n_correct") / F.greatest("n_attr", F.lit(1)))
