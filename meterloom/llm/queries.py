@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, quality
+from ..session import scratch_path
+from . import decontaminate, fingerprint, langid, lm, maintext, neardup, quality, substring, warc
 from .rows import held_out, learned, table
 
 
@@ -20,6 +21,56 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch of every document and of its edited text, with the likeness to that and to the next document."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = maintext.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows which start in a document with a smaller id."""
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    n = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return out.select("doc_id", "n_words", n.alias("n_removed"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+m AS (SELECT g, min(doc_id) AS lo FROM x GROUP BY g),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM x JOIN m USING (g) WHERE doc_id > lo),
+w AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+l AS (SELECT doc_id, count(r.k) AS n_removed, string_agg(word, ' ' ORDER BY w.k) FILTER (WHERE r.k IS NULL) AS kept FROM w LEFT JOIN r USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN l USING (doc_id)
+"""
+
+
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document; ids with remainder 2 are never learned from."""
+    out = lm.score_texts(table(spark, sf_dir, "documents"), learned(F.col("doc_id"), 7, 2))
+    return out.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.col("base").alias("base_score"), "score")
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every document: the smallest id of all that near-copies connect it with."""
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, read back and put together again."""
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_records(spark, path, payloads=False)).select(F.col("metadata.page_id").cast("long").alias("page_id"), "capture.type", "capture.digest", "capture.payload_bytes", F.coalesce("capture.payload_sha1", "capture.digest").alias("sha1"))
+    held = captures.filter("type = 'response'").groupBy("digest").agg(F.max(F.struct("page_id", "payload_bytes")).alias("held"))
+    again = F.col("type") == "revisit"
+    return captures.join(held, "digest").select("page_id", F.when(again, F.col("held.payload_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.when(again, F.col("held.page_id")).alias("refers_to"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item."""
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -52,5 +103,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op8_decontaminate": op8_decontaminate, "op10_language": op10_language}
-ORACLE: dict[str, str] = {"op8_decontaminate": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_quality, op2_fingerprint, op3_main_text, op4_substring, op5_language_model, op6_near_duplicates, op7_warc, op8_decontaminate, op10_language)}
+ORACLE: dict[str, str] = {"op4_substring": OP4_SQL, "op8_decontaminate": OP8_SQL}

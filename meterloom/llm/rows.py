@@ -33,7 +33,7 @@ def learned(doc_id: Column, n: int, left: int) -> Column:
     return F.coalesce(remainder(doc_id, n) != left, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `most` bytes of text, whatever the texts' lengths."""
     for batch in batches:
         col = batch.column(column)
