@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +26,24 @@ def build_session(app: str = "meterloom", master: str | None = None,
         b = b.master(master).config("spark.driver.memory", memory)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return b.getOrCreate()
+    return ship_package(b.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, wherever the session was started; once per context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_meterloom_shipped", False):
+        home = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="meterloom-"), "meterloom.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(home):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(home)))
+        sc.addPyFile(target)
+        sc._meterloom_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
