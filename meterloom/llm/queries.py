@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, fingerprint, langid, lm, maintext, neardup, quality, substring, warc
+from . import bpe, decontaminate, fingerprint, langid, lm, maintext, neardup, quality, substring, warc
 from .rows import held_out, learned, table
 
 
@@ -95,6 +96,13 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks_file: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """Token ids of every document and the bytes they decode to."""
+    ranks = bpe.read_ranks(public_tokenizers.path(ranks_file))
+    out = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; texts of ids with remainder 1 are never learned from."""
     docs = table(spark, sf_dir, "documents")
@@ -104,5 +112,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality, op2_fingerprint, op3_main_text, op4_substring, op5_language_model, op6_near_duplicates, op7_warc, op8_decontaminate, op10_language)}
+    op1_quality, op2_fingerprint, op3_main_text, op4_substring, op5_language_model, op6_near_duplicates, op7_warc, op8_decontaminate, op9_byte_bpe, op10_language)}
 ORACLE: dict[str, str] = {"op4_substring": OP4_SQL, "op8_decontaminate": OP8_SQL}

@@ -41,8 +41,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch
             continue
         start, size = 0, 0
-        for i, n in enumerate(pc.binary_length(col).to_pylist()):
-            size += n or 0
+        listed = pa.types.is_list(col.type)
+        for i, n in enumerate((pc.list_value_length if listed else pc.binary_length)(col).to_pylist()):
+            size += (n or 0) * (4 if listed else 1)
             if size > most:
                 yield batch.slice(start, i + 1 - start)
                 start, size = i + 1, 0

@@ -143,7 +143,7 @@ def duplicate_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = texts.mapInArrow(task, schema)
 
     # anchors of at least two documents; all else is unique
-    shared = found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor")
+    shared = cut_lineage(found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor"))
     known = cut_lineage(found.join(shared, "anchor"))
 
     # whole blocks: the smallest document holds the reference block
