@@ -164,21 +164,19 @@ def step_classes(df: DataFrame, profiles: DataFrame, keys: Sequence[str], *, min
     return d.select(*df.columns, F.when(best["d"] < within * best["l"], best["device"]).alias("device"))
 
 
-def nearest_other(marks: DataFrame, label: str, mark_id: str, features: Sequence[str], *, per_label: int, seed: int = 0,
-                  by_hash: bool = True) -> DataFrame:
-    """Leave-one-out nearest mark by summed absolute log ratios.
+def nearest_other(marks: DataFrame, label: str, mark_id: str, features: Sequence[str], *, per_label: int, seed: int = 0) -> DataFrame:
+    """Nearest other mark of every mark by summed absolute log ratios.
 
     The library is the operator's own fixed-size subsample (`per_label` marks of
-    each label by hash order), so the pairing stays linear in the marks.
+    each label by hash order), so the pairing stays linear in the marks; all
+    marks are classified against it.
     """
-    r = F.row_number().over(W.partitionBy(label).orderBy("_h", mark_id))
-    # hash order without a per-label sort of everything: keep candidates below a threshold rank per hash bucket
-    m = marks.withColumn("_h", F.xxhash64(F.lit(seed), mark_id) if by_hash else F.col(mark_id))
+    m = marks.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(mark_id).cast("string"))))
+    # the first of each hash bucket, then the first of all: no label is ranked as a whole
     pre = m.withColumn("_p", F.pmod(F.xxhash64("_h"), F.lit(64)))
-    few = (pre.select("*", F.row_number().over(W.partitionBy(label, "_p").orderBy("_h", mark_id)).alias("_rp")).where(F.col("_rp") <= per_label)
-           .select("*", r.alias("_rk")).where(F.col("_rk") <= per_label))
-    lib = few.select(F.col(label).alias("pred"), F.col(mark_id).alias("_oid"), *[F.col(f).alias(f"_{f}") for f in features])
-    x = few.join(F.broadcast(lib), F.col(mark_id) != F.col("_oid"))  # per_label x labels rows
-    dist = sum((F.abs(F.ln(F.col(f"_{f}") / F.greatest(F.col(f), F.lit(1.0)))) for f in features), F.lit(0.0))
-    return (x.withColumn("dist", dist).groupBy(label, mark_id).agg(F.min_by(F.struct("pred", "dist"), F.struct("dist", "_oid")).alias("b"))
-            .select(label, mark_id, F.col("b.pred").alias("pred"), F.col("b.dist").alias("dist")))
+    few = pre.select("*", F.row_number().over(W.partitionBy(label, "_p").orderBy("_h", mark_id)).alias("_rp")).where(F.col("_rp") <= per_label)
+    few = few.select("*", F.row_number().over(W.partitionBy(label).orderBy("_h", mark_id)).alias("_rk")).where(F.col("_rk") <= per_label)
+    lib = few.agg(F.collect_list(F.struct(F.col(mark_id).alias("oid"), F.col(label).alias("pred"), *features)).alias("_lib"))  # per_label marks a label
+    dist = lambda x: sum((F.abs(F.ln(x[f] / F.greatest(F.col(f), F.lit(1.0)))) for f in features), F.lit(0.0))
+    best = F.array_min(F.transform(F.filter("_lib", lambda x: x["oid"] != F.col(mark_id)), lambda x: F.struct(dist(x).alias("dist"), x["oid"].alias("oid"), x["pred"].alias("pred"))))
+    return marks.select(label, mark_id, *features).crossJoin(F.broadcast(lib)).select(label, mark_id, best.alias("b")).select(label, mark_id, F.col("b.pred").alias("pred"), F.col("b.dist").alias("dist"))

@@ -46,50 +46,52 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def join_dim(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner", *,
-             max_bytes: int = 64 << 20, salts: int = 8) -> DataFrame:
+             max_bytes: int = 64 << 20) -> DataFrame:
     """Join readings to a per-key table although one key may hold a third of them.
 
     The table is broadcast when its size estimate is below `max_bytes`. Beyond
-    that it is copied once per salt and the readings are salted, so a hot key is
-    split over `salts` tasks.
+    that it is a plain equi-join: adaptive execution sees the real sizes, broadcasts
+    a small side after all, and splits a hot key's partition into as many tasks
+    as its size asks for.
     """
     keys = list(keys)
     if not keys:
         return df.crossJoin(F.broadcast(dim))  # a key-less aggregate: one row
-    if estimated_bytes(dim) <= max_bytes:
-        return df.join(F.broadcast(dim), keys, how)
-    own = [c for c in df.columns if c not in keys][:3]
-    salted = df.withColumn("_z", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
-    copies = dim.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_z"], how).drop("_z")
+    return df.join(F.broadcast(dim) if estimated_bytes(dim) <= max_bytes else dim, keys, how)
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, *,
                  lag: Cols | None = None, lead: Cols | None = None,
                  ffill: Cols | None = None, bfill: Cols | None = None,
                  running_sum: Cols | None = None, running_max: Cols | None = None,
+                 prior_max: Cols | None = None,
                  total: Cols | None = None, row_number: str | None = None) -> DataFrame:
     """Add order-dependent columns to every row, equal to the unchunked window.
 
     `chunk` must not decrease along `order`. Each mapping is output name to
-    input column. `row_number` counts from 1; `total` is the key-wide sum.
+    input column. `row_number` counts from 1; `total` is the key-wide sum;
+    `prior_max` looks at the rows before the current one only. Rows with null
+    keys form a group of their own, as in a plain window.
     """
     keys, order = list(keys), list(order)
     specs = {"lag": lag or {}, "lead": lead or {}, "ffill": ffill or {}, "bfill": bfill or {},
              "running_sum": running_sum or {}, "running_max": running_max or {},
-             "total": total or {}}
+             "prior_max": prior_max or {}, "total": total or {}}
     names = {(k, o): f"_{k}_{i}" for k, m in specs.items() for i, o in enumerate(m)}
-    src = df.select("*", chunk.cast("bigint").alias("_chunk"),
+    # structs are never null themselves and equal where their fields are both null, so groups,
+    # windows and the join keep rows with null keys; windows and join need one shuffle of the
+    # rows, the summary is summed up in each task before it moves
+    grp = ["_key", "_chunk"]
+    src = df.select("*", F.struct(*keys, F.lit(0).alias("_all")).alias("_key"), F.struct(chunk.cast("bigint").alias("n")).alias("_chunk"),
                     *[as_col(c).alias(names[k, o]) for k, m in specs.items() for o, c in m.items()])
-    grp = [*keys, "_chunk"]
     up = W.partitionBy(*grp).orderBy(*order)
     down = W.partitionBy(*grp).orderBy(*[F.col(o).desc() for o in order])
     upto = up.rowsBetween(W.unboundedPreceding, W.currentRow)
     downto = down.rowsBetween(W.unboundedPreceding, W.currentRow)
     pos = F.struct(*order)
-    per_chunk = W.partitionBy(*keys).orderBy("_chunk")
+    per_chunk = W.partitionBy("_key").orderBy("_chunk")
     before = per_chunk.rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy(*keys).orderBy(F.col("_chunk").desc()).rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("_key").orderBy(F.col("_chunk").desc()).rowsBetween(W.unboundedPreceding, -1)
 
     local, summary, carry, final = [], [], [], []
 
@@ -125,9 +127,13 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk
         v = F.col(names["running_max", o])
         add("running_max", o, F.max(v).over(upto), F.max(v), lambda s: F.max(s).over(before),
             lambda a, c: F.greatest(a, c))
+    for o in specs["prior_max"]:
+        v = F.col(names["prior_max", o])
+        add("prior_max", o, F.max(v).over(up.rowsBetween(W.unboundedPreceding, -1)), F.max(v),
+            lambda s: F.max(s).over(before), lambda a, c: F.greatest(a, c))
     for o in specs["total"]:
         v = F.col(names["total", o])
-        add("total", o, None, F.sum(v), lambda s: F.sum(s).over(W.partitionBy(*keys)),
+        add("total", o, None, F.sum(v), lambda s: F.sum(s).over(W.partitionBy("_key")),
             lambda a, c: c)
     if row_number:
         add("row_number", row_number, F.row_number().over(up), F.count(F.lit(1)),
@@ -135,7 +141,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk
             lambda a, c: (a + F.coalesce(c, F.lit(0))).cast("bigint"))
 
     carried = (src.groupBy(*grp).agg(*summary).select(*grp, *carry))
-    rows = src.select(*[F.col(c) for c in df.columns if c not in grp], *grp, *local)
+    rows = src.select(*df.columns, *grp, *local)
     return rows.join(carried, grp).select(*df.columns, *final)
 
 
@@ -252,9 +258,8 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, ga
     row = {"s": start, "e": end, "gap": gap_c, **(extra or {})}
     chunk = bucket_of(start, chunk_us)
     if overlapping:
-        df = ordered_scan(df, keys, [start, end], chunk, running_max={"_reach": end})
-        df = ordered_scan(df, keys, [start, end], chunk, lag={"_reach_prev": "_reach"})
-        row["reach"] = F.col("_reach_prev")
+        df = ordered_scan(df, keys, [start, end], chunk, prior_max={"_reach": end})
+        row["reach"] = F.col("_reach")
         cut = lambda p, c: F.coalesce((c["s"] - c["reach"]) > c["gap"], F.lit(True))
     else:
         cut = lambda p, c: (c["s"] - p["e"]) > c["gap"]

@@ -90,10 +90,9 @@ def always_on_floor(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return day.groupBy(*keys).agg(F.percentile("p10", 0.5).alias("always_on_w"))  # one value a day
 
 
-def robust_noise(df: DataFrame, keys: Sequence[str], every: int = 7, *, chunk_us: int = DAY_US) -> DataFrame:
-    """p10 floor and 1.4826 x MAD (at least 1 W) on every `every`-th row."""
-    d = numbered(df, keys, chunk_us).where(F.col("i") % every == 0).select(*keys, "w")
-    d = with_quantiles(d, keys, {"floor_w": ("w", 0.1), "_med": ("w", 0.5)})
+def robust_noise(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """p10 floor and 1.4826 x MAD (at least 1 W) over all rows."""
+    d = with_quantiles(df.select(*keys, "w"), keys, {"floor_w": ("w", 0.1), "_med": ("w", 0.5)})
     d = d.withColumn("_dev", F.abs(F.col("w") - F.col("_med")))
     q = exact_quantiles(d, [*keys, "floor_w"], {"mad": ("_dev", 0.5)})
     return q.select(*keys, "floor_w", F.greatest(1.4826 * F.col("mad"), F.lit(1.0)).alias("sigma_off_w"))

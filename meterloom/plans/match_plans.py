@@ -222,7 +222,7 @@ def m06(t):
     """A 60 W claim inside predicted spans against the channel on its own stamps."""
     _, p = truth_pred(t)
     c = t.channels.select("house", "device", "ts_us", "w")
-    on = points_in(c, p, KEYS, start="t_on_us", end="t_off_us", bucket_us=4 * HB, how="left_semi").select(*KEYS, "ts_us").withColumn("p", F.lit(60.0))
+    on = points_in(c, p, KEYS, start="t_on_us", end="t_off_us", bucket_us=4 * HB, how="left_semi").select(*KEYS, "ts_us").distinct().withColumn("p", F.lit(60.0))
     x = c.join(on, [*KEYS, "ts_us"], "left").fillna(0.0, ["p"])
     den = t.mains.groupBy("house").agg(F.avg("w").alias("den_w"))
     e = x.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_common"), F.avg(F.abs(F.col("p") - F.col("w"))).alias("mae_w")).join(den, "house")

@@ -71,8 +71,10 @@ lev AS (SELECT v.house, v.device, v.t_on_us, v.t_off_us, avg(m.w) AS level, stdd
  GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2)"""
 
 
-def mains_floor(t):
-    return exact_quantiles(t.mains, ["house"], {"floor_w": ("w", 0.1)})
+def mains_floor(t, until=None):
+    """p10 of the mains, of the span before `until` where a split keeps the rest for tests."""
+    m = t.mains if until is None else t.mains.where(F.col("ts_us") < until)
+    return exact_quantiles(m, ["house"], {"floor_w": ("w", 0.1)})
 
 
 @query("m09_session_params", "house:i device:s mu_w:d sd_w:d dwell_s:d p_stay:d", views="channels mains",
@@ -114,9 +116,9 @@ def param_grid(t, ks=(1, 3, 5), n_draws=2):
     ep = cut_lineage(channel_episodes(t).where(F.col("t_on_us") < SPLIT).select(*EP_COLS))
     cov = PR.cover_share(ep, ep, ["house"], 2.0, bucket_us=4 * HB)
     drawn = C.draw_sessions(cov, KEYS, "flagged", ks, n_draws, 20260922)
-    lv = C.session_levels(cov, t.mains, ["house"], ["device"], shave_s=600, bucket_us=4 * HB)
+    lv = C.session_levels(cov, t.mains.where(F.col("ts_us") < SPLIT), ["house"], ["device"], shave_s=600, bucket_us=4 * HB)
     use = drawn.join(lv, [*KEYS, "t_on_us", "t_off_us"])
-    fl = cut_lineage(mains_floor(t))
+    fl = cut_lineage(mains_floor(t, SPLIT))
     est = C.params_from_sessions(use, fl, ["house"], [*KEYS, "k", "draw"], 600.0)
     yield_ = drawn.groupBy(*KEYS, "k", "draw").agg(F.count(F.lit(1)).alias("valid"))
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("draw")) for k in ks for r in range(n_draws)]))
@@ -134,7 +136,7 @@ def m12(t):
 def param_rows(t, **kw):
     """The grid as one array-valued row per (house, row_id)."""
     g = param_grid(t, **kw)
-    sig = ST.robust_noise(t.mains, ["house"], 7).select("house", "sigma_off_w")
+    sig = ST.robust_noise(t.mains.where(F.col("ts_us") < SPLIT), ["house"]).select("house", "sigma_off_w")
     arr = F.array_sort(F.collect_list(F.struct("device", "mu_w", "sd_w", "p_stay")))  # one entry per device
     p = g.groupBy("house", "k", "draw").agg(arr.alias("a"), F.first("floor_w").alias("floor_w")).join(sig, "house")
     pick = lambda c: F.transform("a", lambda x: x[c])
@@ -186,7 +188,7 @@ def m17(t):
 
 @query("m18_em_fit", "house:i component:i mu:d3 sd:d3 p_stay:d")
 def m18(t):
-    noise = ST.robust_noise(t.mains, ["house"], 7).withColumnRenamed("sigma_off_w", "sigma_off")
+    noise = ST.robust_noise(t.mains.where(F.col("ts_us") < SPLIT), ["house"]).withColumnRenamed("sigma_off_w", "sigma_off")
     fit = D.em_fit(t.mains.where(F.col("ts_us") < SPLIT), ["house"], ["c1", "c2"], cut_lineage(noise), cadence_s=600.0, iters=2, restarts=2, chunk_steps=2048, warm_steps=64)
     return fit.select("house", F.posexplode(F.arrays_zip("mu", "sd", "p_stay")).alias("component", "z")).select("house", "component", "z.*")
 

@@ -143,11 +143,10 @@ def a10(t):
 
 
 @query("a11_robust_noise", "house:i floor_w:d sigma_off_w:d", views="mains", sql="""
-WITH a AS (SELECT house, w FROM (SELECT *, row_number() OVER (PARTITION BY house ORDER BY ts_us, seq) - 1 AS i FROM mains) WHERE i % 7 = 0),
-f AS (SELECT house, quantile_cont(w, 0.1) AS floor_w, quantile_cont(w, 0.5) AS md FROM a GROUP BY house)
-SELECT a.house, any_value(floor_w) AS floor_w, greatest(1.4826 * quantile_cont(abs(w - md), 0.5), 1) AS sigma_off_w FROM a JOIN f ON a.house = f.house GROUP BY a.house""")
+WITH f AS (SELECT house, quantile_cont(w, 0.1) AS floor_w, quantile_cont(w, 0.5) AS md FROM mains GROUP BY house)
+SELECT a.house, any_value(floor_w) AS floor_w, greatest(1.4826 * quantile_cont(abs(w - md), 0.5), 1) AS sigma_off_w FROM mains a JOIN f ON a.house = f.house GROUP BY a.house""")
 def a11(t):
-    return ST.robust_noise(t.mains, ["house"], 7)
+    return ST.robust_noise(t.mains, ["house"])
 
 
 @query("a12_bucket_resample", "house:i device:s ts_us:i w:d w_max:d n:i", views="channels", sql="""

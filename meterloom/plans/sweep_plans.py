@@ -181,14 +181,14 @@ def m29(t):
 
 
 @query("m30_nearest_mark", "true_label:s n:i hits:i", views="channels", ctes=CHANNEL_EP, sql="""
-WITH m AS (SELECT *, house * 100000000000000000 + t_on_us * 10 AS id FROM ep WHERE energy_wh > 0 AND dur_s > 0), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY id) AS rk FROM m) WHERE rk <= 40),
-x AS (SELECT a.device, a.id, b.device AS pred, b.id AS oid, abs(ln(b.energy_wh / greatest(a.energy_wh, 1))) + abs(ln(b.dur_s / greatest(a.dur_s, 1))) AS d FROM f a JOIN f b ON a.id <> b.id),
+WITH m AS (SELECT *, house * 100000000000000000 + t_on_us * 10 AS id FROM ep WHERE energy_wh > 0 AND dur_s > 0), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY md5('0:' || id)) AS rk FROM m) WHERE rk <= 40),
+x AS (SELECT a.device, a.id, b.device AS pred, b.id AS oid, abs(ln(b.energy_wh / greatest(a.energy_wh, 1))) + abs(ln(b.dur_s / greatest(a.dur_s, 1))) AS d FROM m a JOIN f b ON a.id <> b.id),
 p AS (SELECT device, id, min_by(pred, (d, oid)) AS pred FROM x GROUP BY 1, 2)
 SELECT device AS true_label, count(*) AS n, count(*) FILTER (pred = device) AS hits FROM p GROUP BY 1""")
 def m30(t):
-    """Leave-one-out nearest mark on (energy, duration), 40 marks per label."""
+    """Nearest other mark on (energy, duration) of every mark, in a library of 40 marks per label."""
     m = channel_episodes(t).where("energy_wh > 0 and dur_s > 0").withColumn("id", F.col("house") * 100000000000000000 + F.col("t_on_us") * 10)
-    p = C.nearest_other(m, "device", "id", ["energy_wh", "dur_s"], per_label=40, by_hash=False)
+    p = C.nearest_other(m, "device", "id", ["energy_wh", "dur_s"], per_label=40)
     return p.groupBy(F.col("device").alias("true_label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred") == F.col("device")).alias("hits"))
 
 
@@ -240,8 +240,10 @@ SELECT g.device, any_value(n_cand) AS n_cand, count(*) AS n_gt, count(*) FILTER
 def m31_detect(t):
     """Chains of qualifying runs gated by the profile; recall against the ceiling."""
     ep = cut_lineage(channel_episodes(t).select(*EP_COLS, "dur_s"))
-    p = F.broadcast(cut_lineage(mark_profiles(t, ep).drop("n")))  # one row per device
-    q = spans(t).where(F.col("t0_us") >= SPLIT).join(p.withColumnRenamed("dp", "pdp"), F.col("dp") >= 0.5 * F.col("pdp"))
+    lib = cut_lineage(mark_profiles(t, ep)).agg(F.collect_list(F.struct("device", F.col("dp").alias("pdp"), "dur", "gap90")).alias("lib"))  # one profile per device
+    runs = spans(t).where(F.col("t0_us") >= SPLIT)
+    fit = F.explode(F.filter("lib", lambda x: F.col("dp") >= 0.5 * x["pdp"]))
+    q = runs.crossJoin(F.broadcast(lib)).select(*[c for c in runs.columns if c != "device"], fit.alias("z")).select("*", "z.*").drop("z")
     q = q.withColumn("gap", (C.clamp(F.col("gap90"), 300, 1800) * 1e6).cast("bigint")).where("dp >= 40").select(*KEYS, "t0_us", "t1_us", "dur", "gap")
     c = X.merge_intervals(q, KEYS, "t0_us", "t1_us", F.col("gap"), overlapping=True, chunk_us=CH, aggs={"dur": ("max", F.col("dur"))})
     c = c.where(((F.col("t1_us") - F.col("t0_us")) / 1e6).between(0.05 * F.col("dur"), 2.0 * F.col("dur")))

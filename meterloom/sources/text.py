@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordered import DAY_US, bucket_of, ordered_scan
+from ..operators.ordered import DAY_US, bucket_of, join_dim, ordered_scan
 
 # fixed values: accepted names
 UNIX_COLUMNS = ("unixtime", "unix", "unix_ts", "unixts", "time")
@@ -34,17 +34,14 @@ def seconds_to_us(c: Column) -> Column:
 
 # ------------------------------------------------------------------ whitespace tables
 
-def line_width(lines: DataFrame, value: str = "value") -> int:
-    """Value columns announced by the first line (one row reaches the driver)."""
-    first = lines.select(F.size(F.split(F.trim(value), r"\s+")).alias("n")).first()
-    return (first["n"] - 1) if first else 0
-
-
-def parse_dat(lines: DataFrame, n_values: int, value: str = "value") -> DataFrame:
-    """`<float seconds> v0 v1 ...`: ts_us, v0.., and `bad`, the non-numeric cells of the line."""
+def parse_dat(lines: DataFrame, n_values: int, value: str = "value", width: Column | None = None) -> DataFrame:
+    """`<float seconds> v0 v1 ...`: ts_us, v0.., and `bad`, the cells of the line that are
+    not numeric, missing or too many. `width` is the number of value columns of the
+    line's own file where files differ; columns beyond it stay null."""
     cells = F.split(F.trim(value), r"\s+")
+    own = F.lit(n_values) if width is None else width
     cols = [number(F.get(cells, F.lit(i))) for i in range(n_values + 1)]
-    bad = sum((c.isNull().cast("int") for c in cols), F.lit(0))
+    bad = sum(((c.isNull() & (own >= i)).cast("int") for i, c in enumerate(cols)), F.greatest(F.size(cells) - own - 1, F.lit(0)))
     return lines.select(*[c for c in lines.columns if c != value], seconds_to_us(cols[0]).alias("ts_us"),
                         *[c.alias(f"v{i}") for i, c in enumerate(cols[1:])], bad.alias("bad"))
 
@@ -56,31 +53,47 @@ def strict(df: DataFrame, bad: str = "bad") -> DataFrame:
 
 
 def read_dat(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path)
-    return strict(parse_dat(lines, line_width(lines)))
+    """All files of a folder; each has as many value columns as its widest line, and a
+    line with fewer or unreadable cells stops the job."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    widths = lines.groupBy("file").agg((F.max(F.size(F.split(F.trim("value"), r"\s+"))) - 1).alias("width"))
+    widest = widths.agg(F.max("width").alias("n")).first()["n"] or 0
+    wide = join_dim(lines, widths, ["file"])
+    return strict(parse_dat(wide, widest, width=F.col("width")).drop("file", "width"))
 
 
 # ------------------------------------------------------------------ headed CSV
 
 def resolve_column(columns: Sequence[str], names: Sequence[str] = UNIX_COLUMNS) -> str | None:
-    low = {c.lower(): c for c in reversed(list(columns))}
-    return next((low[n] for n in names if n in low), None)
+    """The column whose name is the first of `names` that occurs, whatever its case; of
+    several spellings of one name the last."""
+    ranked = [(names.index(c.lower()), -i, c) for i, c in enumerate(columns) if c.lower() in names]
+    return min(ranked)[2] if ranked else None
 
 
-def read_unix_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_unix_csv(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
     """Headed CSV whose unix column goes by several names; other columns must be numeric."""
     raw = spark.read.option("header", True).csv(path)
-    return strict(type_unix_csv(raw))
+    return strict(type_unix_csv(raw, zone))
 
 
-def type_unix_csv(raw: DataFrame) -> DataFrame:
+def type_unix_csv(raw: DataFrame, zone: str = "UTC", max_skew_us: int = 3_600_000_000) -> DataFrame:
+    """ts_us, the numeric columns and `bad`. A text clock beside the unix column (`Time`)
+    renders the same UTC time line: an unreadable stamp, or one further than
+    `max_skew_us` from ts_us, counts as a bad cell; it gives way to `ts_local_us`,
+    the wall clock in `zone`."""
     key = resolve_column(raw.columns)
     if key is None:
         raise ValueError(f"no unix time column among {raw.columns}")
-    text = [c for c in raw.columns if c.lower() in ("time", "datetime") and c != key]
-    rest = [c for c in raw.columns if c != key and c not in text]
+    clock = [c for c in raw.columns if c.lower() in ("time", "datetime") and c != key]
+    rest = [c for c in raw.columns if c != key and c not in clock]
+    ts = seconds_to_us(number(key))
     bad = sum(((number(c).isNull() & F.col(c).isNotNull()).cast("int") for c in rest), number(key).isNull().cast("int"))
-    return raw.select(seconds_to_us(number(key)).alias("ts_us"), *[number(c).alias(c) for c in rest], bad.alias("bad"))
+    for c in clock:
+        said = F.unix_micros(F.try_to_timestamp(c))
+        bad = bad + F.coalesce(F.abs(said - ts) > max_skew_us, F.lit(True)).cast("int")
+    local = [F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(ts), zone)).alias("ts_local_us")] if clock else []
+    return raw.select(ts.alias("ts_us"), *local, *[number(c).alias(c) for c in rest], bad.alias("bad"))
 
 
 def time_decision(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -89,11 +102,12 @@ def time_decision(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Numeric in over 99.9 % of rows with a median magnitude over 1e8 means unix
     seconds; else parseable dates in over 99.9 % of rows; else the column stays text.
     """
+    from ..operators.quantiles import exact_quantiles
+
     tall = df.unpivot([], list(columns), "column", "v").withColumn("x", F.abs(number("v")))
-    g = tall.groupBy("column").agg(F.avg(F.col("x").isNotNull().cast("int")).alias("num"), F.avg(F.try_to_timestamp("v").isNotNull().cast("int")).alias("dt"),
-                                   # the median only has to clear 1e8, so a share decides it exactly
-                                   (F.avg((F.col("x") > 1e8).cast("int"))).alias("big"))
-    kind = F.when((F.col("num") > 0.999) & (F.col("big") > 0.5), "seconds").when(F.col("dt") > 0.999, "datetime").otherwise("none")
+    g = tall.groupBy("column").agg(F.avg(F.col("x").isNotNull().cast("int")).alias("num"), F.avg(F.try_to_timestamp("v").isNotNull().cast("int")).alias("dt"))
+    g = g.join(exact_quantiles(tall, ["column"], {"mid": ("x", 0.5)}), "column", "left")
+    kind = F.when((F.col("num") > 0.999) & (F.col("mid") > 1e8), "seconds").when(F.col("dt") > 0.999, "datetime").otherwise("none")
     return g.select("column", "num", "dt", kind.alias("decision"))
 
 
@@ -179,36 +193,52 @@ def widen(long: DataFrame, keys: Sequence[str], meters: Sequence[str], value: st
 
 # ------------------------------------------------------------------ discovery
 
+def column_roles(columns: Sequence[str]) -> list[dict]:
+    """One record per column: its role in an export and how it was found.
+
+    Roles by rule, each column judged once: `ts` and `power` by the ranked exact names, else by
+    position or likeness (then `guessed`), `appliance` by the name pattern, `orphan` for a flag
+    whose power column is missing, `near` for other power-like names, else `other`.
+    """
+    def ranked(keys):
+        return min((c for c in columns if c in keys), key=keys.index, default=None)
+
+    ts = ranked(TIME_KEYS)
+    power = ranked(POWER_KEYS)
+    likely = [c for c in columns if "power" in c.lower() and not c.endswith("_on")]
+    chosen = {"ts": ts or columns[0], "power": power or (likely[0] if likely else None)}
+    have = set(columns)
+
+    def role(c):
+        if c == chosen["ts"]:
+            return {"role": "ts", "guessed": ts is None}
+        if c == chosen["power"]:
+            return {"role": "power", "guessed": power is None}
+        if m := re.match(APPLIANCE, c):
+            return {"role": "appliance", "device": m[1]}
+        if c.endswith("_on"):
+            return {"role": "other" if have & {f"{c.removesuffix('_on')}{end}" for end in ("_power_W", "_power")} else "orphan"}
+        like = "power_w" in c.lower() or c.lower().endswith(("_w", "_va", "_kw", "_watt"))
+        return {"role": "near" if like else "other"}
+
+    return [{"column": c, **role(c)} for c in columns]
+
+
 def discover(columns: Sequence[str]) -> dict:
     """Time, power and appliance columns of an unknown export, and what was guessed."""
-    cols = list(columns)
-    ts = next((c for c in TIME_KEYS if c in cols), None)
-    power = next((c for c in POWER_KEYS if c in cols), None)
-    guess_ts, guess_power = ts is None, power is None
-    ts = ts or cols[0]
-    if power is None:
-        power = next((c for c in cols if "power" in c.lower() and not c.endswith("_on")), None)
-        if power is None:
-            raise ValueError(f"no power column among {cols}")
-    apps = {re.match(APPLIANCE, c).group(1): c for c in cols if re.match(APPLIANCE, c) and c != power}
-    return {"ts": ts, "power": power, "ts_guessed": guess_ts, "power_guessed": guess_power, "appliances": apps}
-
-
-def header_warnings(columns: Sequence[str], found: dict) -> list[str]:
-    out = []
-    if found["ts_guessed"]:
-        out.append(f"time column guessed: {found['ts']}")
-    if found["power_guessed"]:
-        out.append(f"power column guessed: {found['power']}")
-    for c in columns:
-        if c in (found["ts"], found["power"]) or re.match(APPLIANCE, c):
-            continue
-        if c.endswith("_on"):
-            if f"{c[:-3]}_power_W" not in columns and f"{c[:-3]}_power" not in columns:
-                out.append(f"flag without a power column: {c}")
-        elif c.lower().endswith(("_w", "_va", "_kw", "_watt")) or "power_w" in c.lower():
-            out.append(f"power-like column ignored: {c}")
-    return out
+    roles = column_roles(list(columns))
+    one = {r["role"]: r for r in roles if r["role"] in ("ts", "power")}
+    if "power" not in one:
+        raise ValueError(f"no power column among {list(columns)}")
+    return {**{k: one[k]["column"] for k in ("ts", "power")}, **{f"{k}_guessed": one[k]["guessed"] for k in ("ts", "power")},
+            "appliances": {r["device"]: r["column"] for r in roles if r["role"] == "appliance"}}
+
+
+def header_warnings(columns: Sequence[str]) -> list[str]:
+    """What a reader of the header should know, in column order within each kind."""
+    said = {"ts": "time column guessed", "power": "power column guessed", "orphan": "flag without a power column", "near": "power-like column ignored"}
+    roles = [r for r in column_roles(list(columns)) if r["role"] in said and r.get("guessed", True)]
+    return [f"{said[r['role']]}: {r['column']}" for kind in said for r in roles if r["role"] == kind]
 
 
 def schema_check(raw: DataFrame, found: dict | None = None, *, index: str | None = None, rows_per_chunk: int = 1 << 20) -> DataFrame:
@@ -217,7 +247,7 @@ def schema_check(raw: DataFrame, found: dict | None = None, *, index: str | None
 
     found = found or discover([c for c in raw.columns if c != index])
     spark = raw.sparkSession
-    head = [(w.split(":")[0], w, 1) for w in header_warnings([c for c in raw.columns if c != index], found)]
+    head = [(w.split(":")[0], w, 1) for w in header_warnings([c for c in raw.columns if c != index])]
     d = raw.select(F.lit(0).alias("k"), F.try_to_timestamp(F.col(found["ts"]).cast("string")).alias("t"), number(F.col(found["power"]).cast("string")).alias("p"),
                    (F.col(index) if index else F.monotonically_increasing_id()).alias("i"))
     p = ordered_scan(d.withColumn("u", F.unix_micros("t")), ["k"], ["i"], bucket_of("i", rows_per_chunk), lag={"pu": "u"})

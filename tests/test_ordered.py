@@ -225,3 +225,13 @@ def test_join_dim_salted(spark):
     assert suggest_chunk_us(df, ["k"], target_rows=10**6) > 60 * S
     n = islands(df, ["k"], ["ts_us", "seq"], bucket_of("ts_us", S), row={"t": "ts_us"}, breaks=lambda p, c: F.lit(False))
     assert n.count() == 3 and n.agg(F.sum("n_rows")).first()[0] == df.count()
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = [(None, 1 * S, 0, 5.0), (None, 4 * S, 1, 7.0), (1, 2 * S, 0, 1.0), (1, 9 * S, 1, 3.0), (2, None, 0, 4.0)]
+    d = spark.createDataFrame(rows, "k bigint, ts_us bigint, seq bigint, w double")
+    got = sorted(map(tuple, ordered_scan(d, ["k"], ["ts_us", "seq"], bucket_of("ts_us", 3 * S), lag={"p": "w"}, lead={"n": "w"}, prior_max={"m": "w"}, total={"t": "w"}, row_number="i").collect()), key=str)
+    want = [(None, S, 0, 5.0, None, 7.0, None, 12.0, 1), (None, 4 * S, 1, 7.0, 5.0, None, 5.0, 12.0, 2), (1, 2 * S, 0, 1.0, None, 3.0, None, 4.0, 1), (1, 9 * S, 1, 3.0, 1.0, None, 1.0, 4.0, 2), (2, None, 0, 4.0, None, None, None, 4.0, 1)]
+    assert got == sorted(want, key=str)
+    q = {r.k: r.m for r in exact_quantiles(d, ["k"], {"m": ("w", 0.5)}).collect()}
+    assert q == {None: 6.0, 1: 2.0, 2: 4.0}

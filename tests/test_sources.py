@@ -30,11 +30,25 @@ def test_dat_and_strict(spark, tmp_path):
         TX.read_dat(spark, str(tmp_path / "b.dat")).count()
 
 
+def test_dat_widths_differ_by_file(spark, tmp_path):
+    (tmp_path / "one.dat").write_text("1 10\n2 11\n")
+    (tmp_path / "two.dat").write_text("1 20 21\n2 22 23\n")
+    got = sorted(map(tuple, TX.read_dat(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(S, 10.0, None), (2 * S, 11.0, None), (S, 20.0, 21.0), (2 * S, 22.0, 23.0)], key=str)
+    (tmp_path / "one.dat").write_text("1 10\n2 11 12\n")
+    with pytest.raises(Exception, match="non-numeric"):
+        TX.read_dat(spark, str(tmp_path)).count()
+
+
 def test_unix_csv(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("Time,Unix,Aggregate\n2013-01-01,10,5\n2013-01-01,20,\n")
-    got = TX.read_unix_csv(spark, str(tmp_path / "a.csv")).orderBy("ts_us").collect()
-    assert [(r.ts_us, r.Aggregate) for r in got] == [(10 * S, 5.0), (20 * S, None)]
-    assert TX.resolve_column(["A", "UNIX_TS"]) == "UNIX_TS"
+    (tmp_path / "a.csv").write_text("Time,Unix,Aggregate\n2013-07-01 00:00:10,1372636810,5\n2013-07-01 00:00:20,1372636820,\n")
+    got = TX.read_unix_csv(spark, str(tmp_path / "a.csv"), "Europe/London").orderBy("ts_us").collect()
+    assert [(r.ts_us, r.ts_local_us - r.ts_us, r.Aggregate) for r in got] == [(1372636810 * S, 3600 * S, 5.0), (1372636820 * S, 3600 * S, None)]
+    for odd in ("2013-07-01 02:00:10", "soon", ""):
+        (tmp_path / "b.csv").write_text(f"Time,Unix,Aggregate\n{odd},1372636810,5\n")
+        with pytest.raises(Exception, match="non-numeric"):
+            TX.read_unix_csv(spark, str(tmp_path / "b.csv")).count()
+    assert TX.resolve_column(["A", "UNIX_TS"]) == "UNIX_TS" and TX.resolve_column(["TIME", "Unix", "unix"]) == "unix"
 
 
 def test_time_and_typing(spark):
@@ -65,24 +79,24 @@ def test_blocks(spark):
 
 
 def test_discovery_fixtures(spark):
-    f = TX.discover(["timestamp", "active_power_W", "kettle_power_W", "kettle_on", "fridge_W"])
-    assert (f["ts"], f["power"], list(f["appliances"])) == ("timestamp", "active_power_W", ["kettle"])
-    bad = spark.createDataFrame([("2024-01-01 00:00:00", "5.0", "1", "9"), ("2024-01-01 00:00:10", "6.0", "1", "9")], "t string, power_kw string, kettle_on string, fridge_W string")
+    f = TX.discover(["datetime", "load_W", "oven_power_W", "oven_on", "pump_VA"])
+    assert (f["ts"], f["power"], list(f["appliances"])) == ("datetime", "load_W", ["oven"])
+    bad = spark.createDataFrame([("2023-03-05 07:30:00", "2.5", "0", "41"), ("2023-03-05 07:31:00", "2.25", "1", "40")], "stamp string, mains_power_kw string, pump_on string, oven_W string")
     codes = {r.code for r in TX.schema_check(bad).collect()}
     assert codes == {"time column guessed", "power column guessed", "flag without a power column", "power-like column ignored", "median power looks like kW"}
-    ok = spark.createDataFrame([("2024-01-01 00:00:00", "100", "0", "0"), ("2024-01-01 00:00:10", "110", "2000", "1")], "timestamp string, active_power_W string, kettle_power_W string, kettle_on string")
+    ok = spark.createDataFrame([("2023-03-05 07:30:00", "240", "35", "1"), ("2023-03-05 07:31:00", "910", "700", "1")], "datetime string, load_W string, pump_power_W string, pump_on string")
     assert TX.schema_check(ok).count() == 0
-    assert {(r.meter, r.w) for r in TX.appliance_readings(ok).collect()} == {("mains", 100.0), ("mains", 110.0), ("kettle", 0.0), ("kettle", 2000.0)}
+    assert {(r.meter, r.w) for r in TX.appliance_readings(ok).collect()} == {("mains", 240.0), ("mains", 910.0), ("pump", 35.0), ("pump", 700.0)}
 
 
 def test_metrics_fixture(spark):
-    """72 hourly rows with a heater on three hours a day: duty 12.5 %."""
-    rows = [(0, i * H, i, 700.0 if i % 24 in (18, 19, 20) else 0.0) for i in range(72)]
+    """Four days of half-hourly rows with a pump on two hours a day: duty 1/12."""
+    rows = [(0, i * H // 2, i, 950.0 if i % 48 in (10, 11, 12, 13) else 1.0) for i in range(192)]
     d = spark.createDataFrame(rows, "k bigint, ts_us bigint, seq bigint, w double")
-    assert ST.cadence(d, ["k"]).first().dt_med_s == 3600.0
+    assert ST.cadence(d, ["k"]).first().dt_med_s == 1800.0
     b = ST.channel_battery(d, ["k"]).first()
-    assert (b.n, b.on_share, b.episodes, b.dwell_p50_s) == (72, 0.125, 3, 3 * 3600.0)
-    assert RS.bucket_resample(d, ["k"], 86400).count() == 3
+    assert (b.n, b.on_share, b.episodes, b.dwell_p50_s) == (192, 16 / 192, 4, 4 * 1800.0)
+    assert RS.bucket_resample(d, ["k"], 86400).count() == 4
 
 
 def test_store(spark):
