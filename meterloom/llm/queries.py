@@ -99,8 +99,9 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks_file: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """Token ids of every document and the bytes they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path(ranks_file))
-    out = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, packed=True)
+    out = bpe.decode(ids, ranks, keep=("doc_id", "ids"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

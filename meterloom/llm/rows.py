@@ -9,10 +9,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of a text where an operator takes them unchanged: what stands between these bytes.
-BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
-WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -51,6 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
-def ascii_words(text: str) -> list[str]:
-    """Words of a text split at the six ASCII blanks only, unchanged."""
-    return [w.decode() for w in text.encode().split()]
+def apart(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], str]:
+    """The rows under column names c0, c1, ... that no operator uses, those names, and that of `text`."""
+    names = tuple(f"c{i}" for i in range(len(docs.columns)))
+    return docs.toDF(*names), names, names[docs.columns.index("text")]

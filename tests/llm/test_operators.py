@@ -460,15 +460,17 @@ def tokenizer():
 
 def test_bpe_matches_the_library(spark, tokenizer):
     ranks, library = tokenizer
-    rows = [(i, t, "en") for i, t in enumerate(TEXTS)] + [(100, None, None), (0, TEXTS[2], None), (None, TEXTS[3], None)]
+    rnd = random.Random(1)
+    signs = "aé \n\t  x9'—日.ll\x85\u00a0\u2003\x1c"
+    rows = [(i, t, "en") for i, t in enumerate(TEXTS)] + [(50 + i, "".join(rnd.choices(signs, k=rnd.randint(1, 40))), "en") for i in range(150)]
+    rows += [(1000, None, None), (0, TEXTS[2], None), (None, TEXTS[3], None), (1001, "x" * 200_000, None), (1002, "日本" * 20_000, None)]
     docs = table_of(spark, rows)
+    want = collections.Counter((i, t, tuple(library.encode_ordinary(t or ""))) for i, t, _ in rows)
     out = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "text"))
-    got = out.select("text", "ids", bpe.little_endian(F.col("ids")).alias("raw"), bpe.decode(F.col("ids"), ranks).alias("back")).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        ids = library.encode_ordinary(r.text or "")
-        assert list(r.ids) == ids and bytes(r.back) == (r.text or "").encode()
-        assert bytes(r.raw) == b"".join(i.to_bytes(4, "little") for i in ids)
+    assert collections.Counter((r.doc_id, r.text, tuple(r.ids)) for r in out.collect()) == want
+    packed = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "text"), packed=True), ranks, keep=("doc_id", "text", "ids"))
+    assert collections.Counter((r.doc_id, r.text, tuple(np.frombuffer(bytes(r.ids), np.uint32).tolist())) for r in packed.collect()) == want
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in packed.collect() + bpe.decode(out, ranks, keep=("text",)).collect())
     assert bpe.encode(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
