@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import slices
+from .rows import apart, slices
 
 WIDTH = 10
 PART_WORDS = 2_000_000
@@ -192,7 +192,7 @@ def _join_spans(col: str):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_words: int = PART_WORDS) -> DataFrame:
     """The rows of documents in which no test string occurs."""
-    cols = tuple(docs.columns)
-    found = find_items(docs.withColumn("_search_text", F.col("text")), benchmark, "_search_text", cols, width=width, part_words=part_words)
-    return found.filter(F.size("spans") == 0).select(*cols)
+    own, names, text = apart(docs)
+    found = find_items(own, benchmark, text, names, width=width, part_words=part_words)
+    return found.filter(F.size("spans") == 0).select(*names).toDF(*docs.columns)
 

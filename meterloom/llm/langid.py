@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import slices
+from .rows import apart, slices
 
 TOP = 300
 UNKNOWN = "und"
@@ -157,5 +157,5 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
 
 def reject_unknown(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
     """The rows of documents whose language can be told; those that give `und` go."""
-    cols = tuple(docs.columns)
-    return identify(docs.withColumn("_language_text", F.col("text")), profiles, "_language_text", cols, top).filter(F.col("lang_pred") != UNKNOWN).select(*cols)
+    own, names, text = apart(docs)
+    return identify(own, profiles, text, names, top).filter(F.col("lang_pred") != UNKNOWN).select(*names).toDF(*docs.columns)
