@@ -363,6 +363,38 @@ def test_near_duplicate_groups(spark, seed):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(rows[k][0] for k in g if rows[k][0] is not None) for g in plain_classes(rows, 0.8))
 
 
+def changed(rnd, words, n):
+    """The words with n of them replaced, at places picked at random."""
+    out = list(words)
+    for i in rnd.sample(range(len(out)), n):
+        out[i] = f"new{rnd.randrange(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("percent", [5, 10, 15, 20])
+@pytest.mark.parametrize("n_words", [5, 9, 10, 20, 32, 40, 100, 300])
+def test_near_duplicate_candidates(percent, n_words):
+    """Copies with so many words changed meet in a key; where one edit is allowed, all of them."""
+    rnd, known, met = random.Random(percent * n_words), neardup._Hashes(), 0
+    for _ in range(150):
+        a = [f"w{rnd.randrange(10**9)}" for _ in range(n_words)]
+        b = changed(rnd, a, max(1, n_words * percent // 100))
+        met += bool(np.intersect1d(*[neardup.keys_of(neardup.word_hashes([w.encode() for w in t], known)) for t in (a, b)]).size)
+    assert met == 150 if n_words < 10 else met >= (139 if percent == 20 else 147)
+
+
+def test_near_duplicate_groups_of_many_changes(spark):
+    rnd, rows = random.Random(5), []
+    for n, lost in [(n, max(1, n * p // 100)) for n in (5, 8, 9, 10, 12, 30, 60, 120) for p in (5, 10, 15)]:
+        a = [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+        b = changed(rnd, a, lost)
+        c = [w for i, w in enumerate(a) if i not in set(rnd.sample(range(n), lost))]
+        rows += [(len(rows) + i, " ".join(t), None) for i, t in enumerate((a, b, c))]
+    rows += [(500, "a b c d e", None), (501, "a b X d e", None), (502, "a b c d", None), (503, "a a a a a", None), (504, "a a a a", None), (505, "p q r s", None), (506, "p q r t", None)]
+    want = sorted((rows[i][0], min(rows[k][0] for k in g)) for g in plain_classes(rows, 0.8) for i in g)
+    assert sorted((r.doc_id, r.class_id) for r in neardup.groups(table_of(spark, rows, 3)).collect()) == want
+
+
 def test_near_duplicates_without_links(spark):
     docs = table_of(spark, [(1, "a b c d e f", None), (2, None, None), (None, "same", None), (None, "same", None)])
     got = sorted((r.doc_id or 0, r.class_id or 0, r.class_size) for r in neardup.groups(docs).collect())
