@@ -395,6 +395,24 @@ def test_near_duplicate_groups_of_many_changes(spark):
     assert sorted((r.doc_id, r.class_id) for r in neardup.groups(table_of(spark, rows, 3)).collect()) == want
 
 
+def test_near_duplicates_of_moved_blocks(spark):
+    """A link between texts of equal word counts whose bucket's smallest text is similar to only one of them."""
+    found = []
+    for seed in range(60):
+        rnd = random.Random(seed)
+        a = [f"w{rnd.randrange(10**9)}" for _ in range(400)]
+        b = a[:50] + a[53:100] + a[50:53] + a[100:]
+        c = b[:250] + b[253:300] + b[250:253] + b[300:]
+        coded = [[w.encode() for w in t] for t in (a, b, c)]
+        keys = [set(neardup.keys_of(neardup.word_hashes(w, neardup._Hashes()), 0.98).tolist()) for w in coded]
+        if min(coded, key=neardup.node_of) is coded[0] and keys[1] & keys[2] and keys[1] & keys[2] <= keys[0]:
+            found.append((a, b, c))
+    assert found
+    rows = [(i, " ".join(t), None) for i, t in enumerate(found[0])]
+    assert len(plain_classes(rows, 0.98)) == 1 and plain_edits(found[0][0], found[0][2]) > 8
+    assert [r.class_size for r in neardup.groups(table_of(spark, rows, 1), least=0.98).collect()] == [3, 3, 3]
+
+
 def test_near_duplicates_without_links(spark):
     docs = table_of(spark, [(1, "a b c d e f", None), (2, None, None), (None, "same", None), (None, "same", None)])
     got = sorted((r.doc_id or 0, r.class_id or 0, r.class_size) for r in neardup.groups(docs).collect())
