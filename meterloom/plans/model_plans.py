@@ -213,20 +213,41 @@ def m19(t):
     return best.select("house", "z.cost", F.posexplode("z.pm").alias("component", "device"))
 
 
+def em_params(t, par):
+    """Levels fitted without sessions on the 30 days before the split, one component for each device of the last
+    parameter row: the cheapest assignment by level. One row per house, in the form of `param_rows`."""
+    import itertools
+
+    train = t.mains.where((F.col("ts_us") >= SPLIT - 30 * DAY_US) & (F.col("ts_us") < SPLIT))
+    names = [f"c{i}" for i in range(5)]
+    noise = cut_lineage(par.select("house", "floor_w", "sigma_off").distinct())
+    fit = cut_lineage(D.em_fit(train, ["house"], names, noise, cadence_s=600.0, chunk_steps=2048, warm_steps=64))
+    last = par.groupBy("house").agg(F.max_by(F.struct("devices", F.col("mu").alias("hat"), "sigma_off", "floor_w"), "row_id").alias("z")).select("house", "z.*")
+    perms = F.explode(F.array(*[F.array(*map(F.lit, p)) for p in itertools.permutations(range(len(names)))]))
+    x = fit.select("house", "mu", "sd", "p_stay").join(last, "house").withColumn("pm", perms)
+    at = F.sequence(F.lit(0), F.size("devices") - 1)
+    cost = F.aggregate(at, F.lit(0.0), lambda s, i: s + F.abs(F.get("hat", i) - F.get(F.col("mu"), F.get(F.col("pm"), i))))
+    own = lambda c: F.transform(at, lambda i: F.get(F.col(c), F.get(F.col("pm"), i))).alias(c)
+    best = x.withColumn("cost", cost).groupBy("house").agg(F.min_by(F.struct("devices", own("mu"), own("sd"), own("p_stay"), "sigma_off", "floor_w"), F.struct("cost", "pm")).alias("z"))
+    return best.select("house", F.lit(0).alias("k"), F.lit(0).alias("draw"), F.lit(0).cast("bigint").alias("row_id"), "z.*")
+
+
 @query("m20_k_curve", "arm:s cadence_s:i k:i n_rows:i f1_mean:d f1_std:d")
 def m20(t):
-    """Anchor and session-supervised arms in one table: pooled F1 per arm, cadence and K."""
+    """Anchor, session-supervised and EM arms in one table: pooled F1 per arm, cadence and K."""
     ep = cut_lineage(channel_episodes(t).where(F.col("t_on_us") >= SPLIT).select(*EP_COLS))
     test = t.mains.where(F.col("ts_us") >= SPLIT)
     par = cut_lineage(param_rows(t, ks=(1, 3), n_draws=2))
+    sources = [("sessions", par), ("em", cut_lineage(em_params(t, par)))]
     hourly = RS.bucket_resample(test, ["house"], 3600, stamp="mid").select("house", "ts_us", F.lit(0).cast("bigint").alias("seq"), "w")
     arms = []
     for cad, series in ((600, test), (3600, hourly)):
-        p = par.withColumn("p_stay", F.transform("p_stay", lambda x: D.rescale_stay(x, 600.0, float(cad)))) if cad != 600 else par
-        dec = D.decode(series, p, ["house"], cadence_s=float(cad), chunk_steps=2048, warm_steps=64)
-        dec = cut_lineage(dec.join(par.select("house", "row_id", "k", "draw"), ["house", "row_id"])).withColumn("w", F.lit(1.0))
-        e = X.gated_episodes(dec, ["house", "k", "draw", "device"], D.claimed(), F.col("gated") == 1, merge_gap_s=7200, min_dwell_s=600, gate_split_rows=2, chunk_us=CH)
-        arms.append(e.select(F.lit("sessions").alias("arm"), F.lit(cad).alias("cadence_s"), "k", "draw", *EP_COLS))
+        for arm, rows in sources:
+            p = rows.withColumn("p_stay", F.transform("p_stay", lambda x: D.rescale_stay(x, 600.0, float(cad)))) if cad != 600 else rows  # noqa: B023
+            dec = D.decode(series, p, ["house"], cadence_s=float(cad), chunk_steps=2048, warm_steps=64)
+            dec = cut_lineage(dec.join(rows.select("house", "row_id", "k", "draw"), ["house", "row_id"])).withColumn("w", F.lit(1.0))
+            e = X.gated_episodes(dec, ["house", "k", "draw", "device"], D.claimed(), F.col("gated") == 1, merge_gap_s=7200, min_dwell_s=600, gate_split_rows=2, chunk_us=CH)
+            arms.append(e.select(F.lit(arm).alias("arm"), F.lit(cad).alias("cadence_s"), "k", "draw", *EP_COLS))
         a = X.anchor_episodes(series, ["house"], 60.0, min_dwell_s=600, merge_gap_s=7200, hold_s=HOLD_S, chunk_us=CH)
         a = a.join(ep.select(*KEYS).distinct(), "house")
         arms.append(a.select(F.lit("anchor").alias("arm"), F.lit(cad).alias("cadence_s"), F.lit(0).alias("k"), F.lit(0).alias("draw"), *EP_COLS))
@@ -235,7 +256,7 @@ def m20(t):
         pred = pred.unionByName(a)
     pred = cut_lineage(pred)
     run = ["arm", "cadence_s", "k", "draw"]
-    every = [(a, c, k, r) for c in (600, 3600) for a, k, r in [("anchor", 0, 0), *[("sessions", k, r) for k in (1, 3) for r in (0, 1)]]]
+    every = [(a, c, k, r) for c in (600, 3600) for a, k, r in [("anchor", 0, 0), ("em", 0, 0), *[("sessions", k, r) for k in (1, 3) for r in (0, 1)]]]
     z = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(run, e)]) for e in every]))
     truth = ep.select("*", z.alias("z")).select(*EP_COLS, "z.*")
     m = M.match_onsets(truth, pred, [*run, *KEYS], 3 * H, chunk_us=CH).where(M.in_dwell_band())

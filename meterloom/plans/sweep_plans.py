@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import calibrate as C
+from ..operators import decode as D
 from ..operators import episodes as X
 from ..operators import matching as M
 from ..operators import profiles as PR
@@ -180,6 +181,40 @@ def m29(t):
     return j.groupBy("shape").agg(F.count(F.lit(1)).alias("houses"), F.count("t").alias("detected"), F.max((F.col("t") - F.col("s0")) / 1e6).alias("latency_s"))
 
 
+SHAPES = (  # the reference's names and levels; a sample is ten minutes here, not six seconds, so spans are 24 times as long
+    ("2 kW x 5 min step", 2000.0, 5), ("3 kW x 1 min spike", 3000.0, 1), ("800 W x 30 min stuck load", 800.0, 30), ("1.2 kW x 10 min (on/off at 60 s)", 1200.0, 10),
+    ("1.5 kW x 20 min at 03:17", 1500.0, 20), ("2.5 kW x 45 min unusual", 2500.0, 45), ("400 W x 2 h small-but-long", 400.0, 120), ("900 W x 10 min mid-morning", 900.0, 10))
+
+
+@query("m29_anomaly_shapes", "shape:s level_w:d dwell_s:i houses:i detected:i latency_s:d clean_detections:i clean_residual_kwh:d")
+def m29_shapes(t):
+    """All eight shapes, three days apart, found by a generic 1000 W detector that starts within two rows of them;
+    beside them what it finds on the residual without shapes, and that residual's energy (both over all houses)."""
+    m = t.mains.where("w is not null")
+    det = X.hysteresis_runs(m, ["house"], 60.0, 30.0, chunk_us=CH).select("house", "t_on_us", "t_off_us")
+    att = points_in(m.select("house", "ts_us", "seq"), det, ["house"], start="t_on_us", end="t_off_us", bucket_us=HB).groupBy("house", "ts_us", "seq").agg((F.count(F.lit(1)) * 60.0).alias("a"))
+    x = join_dim(m.join(att, ["house", "ts_us", "seq"], "left"), mains_floor(t, SPLIT).select("house", "floor_w"), ["house"])
+    x = x.withColumn("x", F.greatest(F.col("w") - F.col("floor_w") - F.coalesce("a", F.lit(0.0)), F.lit(0.0)))
+    x = cut_lineage(X.numbered(x.select("house", "ts_us", "seq", "x"), ["house"], CH))
+    first = SPLIT - 14 * DAY_US
+    cells = [(n, lv, 24 * 60 * d, first + 3 * i * DAY_US + (3 * 3600 + 17 * 60) * 1_000_000) for i, (n, lv, d) in enumerate(SHAPES)]
+    w = F.col("x")
+    for _, lv, d, s0 in cells:
+        w = w + F.when((F.col("ts_us") >= s0) & (F.col("ts_us") < s0 + d * 1_000_000), lv).otherwise(0.0)
+    found = lambda v: X.detect_samples(x.select("house", "ts_us", "seq", v.alias("w")), ["house"], 1000.0, 500.0, min_samples=2, chunk_us=CH).select("house", "i_on")
+    z = F.explode(F.array(*[F.struct(F.lit(n).alias("shape"), F.lit(lv).alias("level_w"), F.lit(d).alias("dwell_s"), F.lit(s0).alias("s0")) for n, lv, d, s0 in cells]))
+    start = F.struct(*[F.min(F.when((F.col("ts_us") >= s0) & (F.col("ts_us") < s0 + d * 1_000_000), F.struct("ts_us", "seq", "i"))).alias(f"s{j}") for j, (_, _, d, s0) in enumerate(cells)])
+    at = x.groupBy("house").agg(start.alias("f")).select("house", F.array(*[F.struct(F.lit(n).alias("shape"), F.col(f"f.s{j}.i").alias("i0")) for j, (n, *_) in enumerate(cells)]).alias("f"))
+    at = at.select("house", F.explode("f").alias("f")).select("house", "f.*")
+    cell = cut_lineage(x.select("house").distinct().select("house", z.alias("z")).select("house", "z.*").join(at, ["house", "shape"]))
+    hit = found(w).join(cell.select("house", "shape", "i0"), "house").where(F.abs(F.col("i_on") - F.col("i0")) <= 2).groupBy("house", "shape").agg(F.min("i_on").alias("i"))
+    hit = hit.join(x.select("house", "i", "ts_us"), ["house", "i"]).select("house", "shape", "ts_us")
+    g = cell.join(hit, ["house", "shape"], "left").groupBy("shape", "level_w", "dwell_s").agg(F.count(F.lit(1)).alias("houses"), F.count("ts_us").alias("detected"), F.max((F.col("ts_us") - F.col("s0")) / 1e6).alias("latency_s"))
+    clean = found(F.col("x")).agg(F.count(F.lit(1)).alias("clean_detections"))
+    energy = x.agg((F.sum("x") * 600.0 / 3.6e6).alias("clean_residual_kwh"))
+    return g.crossJoin(F.broadcast(clean)).crossJoin(F.broadcast(energy))  # one row each
+
+
 @query("m30_nearest_mark", "true_label:s n:i hits:i", views="channels", ctes=CHANNEL_EP, sql="""
 WITH m AS (SELECT *, house * 100000000000000000 + t_on_us * 10 AS id FROM ep WHERE energy_wh > 0 AND dur_s > 0), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY md5('0:' || id)) AS rk FROM m) WHERE rk <= 40),
 x AS (SELECT a.device, a.id, b.device AS pred, b.id AS oid, abs(ln(b.energy_wh / greatest(a.energy_wh, 1))) + abs(ln(b.dur_s / greatest(a.dur_s, 1))) AS d FROM m a JOIN f b ON a.id <> b.id),
@@ -349,21 +384,37 @@ def m37(t):
     return exact_quantiles(s, ["device", "band"], {"p50": ("d", 0.5)}, {"n": "d"})
 
 
-@query("m39_estimator_sweep", "house:i device:s k:i mu_err:d3 n_draws:i")
+@query("m39_estimator_sweep", "house:i device:s k:i mu_err:d3 n_draws:i f1_mean:d")
 def m39(t):
-    """Level error against K on an additive signal: the hourly sum of two channels."""
-    h = RS.bucket_resample(t.channels.where("device in ('click', 'view')"), KEYS, 3600).select(*KEYS, "ts_us", F.col("ts_us").alias("seq"), "w")
+    """Level error and pooled F1 of the decode against K on an additive signal: the hourly sum of all channels."""
+    ks, draws = (1, 3, 10), 4
+    h = RS.bucket_resample(t.channels, KEYS, 3600).select(*KEYS, "ts_us", F.col("ts_us").alias("seq"), "w")
     h = cut_lineage(h)
-    agg = h.groupBy("house", "ts_us").agg(F.sum("w").alias("w"))
+    agg = cut_lineage(h.groupBy("house", "ts_us").agg(F.sum("w").alias("w")).withColumn("seq", F.col("ts_us")))
     ep = X.build_episodes(h, KEYS, 40.0, min_dwell_s=3600, merge_gap_s=7200, max_hold_s=3600, chunk_us=CH).select(*EP_COLS)
     ep = cut_lineage(ep)
     cov = PR.cover_share(ep, ep, ["house"], 0.9, bucket_us=4 * HB)
-    drawn = C.draw_sessions(cov, KEYS, "flagged", (1, 3, 10), 4, 5)
+    drawn = C.draw_sessions(cov, KEYS, "flagged", ks, draws, 5)
     lv = C.session_levels(cov, agg, ["house"], ["device"], shave_s=0, bucket_us=4 * HB)
-    fl = exact_quantiles(agg, ["house"], {"floor_w": ("w", 0.1)})
+    fl = cut_lineage(ST.robust_noise(agg, ["house"]))
     est = C.params_from_sessions(drawn.join(lv, [*KEYS, "t_on_us", "t_off_us"]), fl, ["house"], [*KEYS, "k", "draw"], 3600.0)
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("draw")) for k in ks for r in range(draws)]))
+    grid = cut_lineage(h.select(*KEYS).distinct().select(*KEYS, cells.alias("z")).select(*KEYS, "z.*").join(est, [*KEYS, "k", "draw"], "left"))
+    # devices without a separable level take the floor as their level and a stay of a hundred steps
+    full = grid.join(fl, "house").select("house", "k", "draw", "floor_w", "sigma_off_w", F.struct("device", F.coalesce("mu_w", "floor_w").alias("mu"), F.coalesce("sd_w", F.lit(PR.SIGMA_FLOOR_W)).alias("sd"), F.coalesce("p_stay", F.lit(0.99)).alias("p")).alias("a"))
+    par = full.groupBy("house", "k", "draw", "floor_w", "sigma_off_w").agg(F.array_sort(F.collect_list("a")).alias("a"))  # one entry per device
+    pick = lambda c: F.transform("a", lambda x: x[c])
+    row = (F.array_position(F.array(*map(F.lit, ks)), F.col("k")) - 1) * draws + F.col("draw")
+    par = cut_lineage(par.select("house", "k", "draw", row.cast("bigint").alias("row_id"), pick("device").alias("devices"), pick("mu").alias("mu"), pick("sd").alias("sd"), pick("p").alias("p_stay"), F.col("sigma_off_w").alias("sigma_off"), "floor_w"))
+    dec = D.decode(agg, par, ["house"], cadence_s=3600.0, chunk_steps=2048, warm_steps=64)
+    dec = cut_lineage(dec.join(par.select("house", "row_id", "k", "draw"), ["house", "row_id"])).withColumn("w", F.lit(1.0))
+    run = ["house", "k", "draw"]
+    pred = cut_lineage(X.gated_episodes(dec, [*run, "device"], D.claimed(), F.col("gated") == 1, merge_gap_s=7200, min_dwell_s=3600, gate_split_rows=2, chunk_us=CH).select("k", "draw", *EP_COLS))
+    truth = ep.select("*", cells.alias("z")).select(*EP_COLS, "z.*")
+    f1 = M.score(truth, pred, M.match_onsets(truth, pred, [*run, "device"], 3 * H, chunk_us=CH), run).groupBy("house", "k").agg(F.avg("f1").alias("f1_mean"))
     tru = h.where("w > 40").groupBy(*KEYS).agg(F.avg("w").alias("true_w"))
-    return est.join(tru, KEYS).groupBy(*KEYS, "k").agg(F.avg(F.abs(F.col("mu_w") - F.col("true_w"))).alias("mu_err"), F.count(F.lit(1)).alias("n_draws"))
+    g = grid.join(tru, KEYS, "left").groupBy(*KEYS, "k").agg(F.avg(F.abs(F.col("mu_w") - F.col("true_w"))).alias("mu_err"), F.count("mu_w").alias("n_draws"))
+    return g.join(f1, ["house", "k"], "left")
 
 
 @query("m40_curation_candidates", "house:i device:s n_pre:i class:s listed:b", views="channels", ctes=CHANNEL_EP, sql=f"""
