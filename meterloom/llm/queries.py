@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, decontaminate, fingerprint, langid, lm, maintext, neardup, quality, substring, warc
+from . import bpe, decontaminate, fingerprint, langid, lm, maintext, neardup, pieces, quality, substring, warc
 from .rows import held_out, learned, table
 
 
@@ -112,6 +112,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
+    """Token ids of every document, with the end id, and the text they decode to."""
+    vocabulary = pieces.read_vocabulary(public_tokenizers.path(model))
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary, keep=("doc_id", "ids"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality, op2_fingerprint, op3_main_text, op4_substring, op5_language_model, op6_near_duplicates, op7_warc, op8_decontaminate, op9_byte_bpe, op10_language)}
+    op1_quality, op2_fingerprint, op3_main_text, op4_substring, op5_language_model, op6_near_duplicates, op7_warc, op8_decontaminate, op9_byte_bpe, op10_language, op12_sentencepiece)}
 ORACLE: dict[str, str] = {"op4_substring": OP4_SQL, "op8_decontaminate": OP8_SQL}
