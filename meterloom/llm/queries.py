@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, decontaminate, fingerprint, langid, lm, maintext, neardup, pieces, quality, substring, warc
+from . import bpe, centroids, decontaminate, fingerprint, langid, lm, maintext, neardup, phrases, pieces, quality, substring, warc
 from .rows import held_out, learned, table
 
 
@@ -112,6 +112,33 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words stand together most beyond chance."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+sizes AS (SELECT unnest(range(1, 6)) AS m),
+f AS (SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, count(*) AS a
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, sizes WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 100),
+inside AS (SELECT DISTINCT f.lang, f.phrase FROM f JOIN (
+      SELECT lang, a, array_to_string(list_slice(g, i, i + k - 1), ' ') AS phrase
+      FROM (SELECT lang, a, g, k, unnest(range(1, m - k + 2)) AS i FROM (SELECT lang, a, m, string_split(phrase, ' ') AS g, unnest(range(2, m)) AS k FROM f WHERE m > 2))) b
+      ON b.lang = f.lang AND b.phrase = f.phrase AND 100 * b.a >= 100 * f.a),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(list_slice(g, 1, k), ' ') AS x, array_to_string(list_slice(g, k + 1, m), ' ') AS y
+         FROM (SELECT lang, phrase, a, m, string_split(phrase, ' ') AS g, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+scored AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, n, k, CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+           FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y JOIN total t ON t.lang = c.lang
+           ANTI JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
     """Token ids of every document, with the end id, and the text they decode to."""
     vocabulary = pieces.read_vocabulary(public_tokenizers.path(model))
@@ -120,6 +147,33 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every whole vector after five rounds from 40 starts."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = 5) -> str:
+    away = "list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min({{'d': {away}, 'c': c}}) AS b FROM k, c{i} GROUP BY r)")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(fresh, m) AS m FROM c{i} LEFT JOIN (
+  SELECT c, list(x ORDER BY j) AS fresh FROM (
+    SELECT c, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x FROM (
+      SELECT b.c AS c, j, sum(v[j]) AS s, count(*) AS n FROM a{i} JOIN k USING (r), (SELECT unnest(range(1, 65)) AS j) GROUP BY ALL)) GROUP BY c) USING (c))""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT c, m FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v AS m FROM k) WHERE c < 40),
+{", ".join(steps[:-1])},
+t AS (SELECT b.c AS c, sum(b.d) AS s FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(t.s AS BIGINT) AS cluster_inertia,
+       CAST((SELECT sum(s) FROM t) AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN k USING (r) JOIN t ON t.c = a.b.c JOIN c{rounds} USING (c)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality, op2_fingerprint, op3_main_text, op4_substring, op5_language_model, op6_near_duplicates, op7_warc, op8_decontaminate, op9_byte_bpe, op10_language, op12_sentencepiece)}
-ORACLE: dict[str, str] = {"op4_substring": OP4_SQL, "op8_decontaminate": OP8_SQL}
+    op1_quality, op2_fingerprint, op3_main_text, op4_substring, op5_language_model, op6_near_duplicates, op7_warc, op8_decontaminate, op9_byte_bpe, op10_language, op11_collocations, op12_sentencepiece, op13_centroids)}
+ORACLE: dict[str, str] = {"op4_substring": OP4_SQL, "op8_decontaminate": OP8_SQL, "op11_collocations": OP11_SQL, "op13_centroids": _op13_sql()}
