@@ -6,16 +6,13 @@ Every function takes a stream (or a batch) of readings with `ts` (timestamp),
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import scratch_path
-
-US = 1_000_000
+from .inorder import US, Gaps, HoldEnergy, Hysteresis, in_order, state_store
 
 
 def read_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -29,8 +26,9 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Process everything there is, append to parquet in the shared folder, read it back."""
     spark = stream.sparkSession
     out, ck = scratch_path(spark, name), scratch_path(spark, name + "-ck")
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with state_store(spark):
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -47,72 +45,17 @@ def on_sessions(stream: DataFrame, keys: Sequence[str], thr: Column | float, mer
     return g.drop("_s").withColumn("dur_s", (F.col("t_off_us") - F.col("t_on_us")) / 1e6).where(F.col("dur_s") >= min_dwell_s)
 
 
-def _keyed(stream: DataFrame, keys: Sequence[str]):
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields if f.name in keys)
-
-
-def _rows(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """New rows of one key in one trigger, in time order."""
-    parts = [b for b in batches if len(b)]
-    return pd.concat(parts).sort_values("ts_us") if parts else pd.DataFrame(columns=["ts_us", "w"])
-
-
-def hysteresis(stream: DataFrame, keys: Sequence[str], hi: float, lo: float, *, idle_s: float | None = None, late: str = "10 minutes") -> DataFrame:
-    """Detector with an open episode as state; closes at a low reading, or by the
-    event-time timer after `idle_s` without any. Rows behind the last seen stamp are late."""
-    keys = list(keys)
-
-    def step(key, batches, state: GroupState):
-        on, start, last_on, n, seen = state.get if state.exists else (0, 0, 0, 0, -1)
-        out = []
-        if state.hasTimedOut:
-            if on:
-                out.append((*key, start, last_on, n, True))
-            state.remove()
-        else:
-            d = _rows(batches)
-            for t, w in zip(d["ts_us"].tolist(), d["w"].tolist()):
-                if t < seen:
-                    continue
-                seen = t
-                if w >= hi or (on and w > lo):
-                    if not on:
-                        on, start, n = 1, t, 0
-                    last_on, n = t, n + 1
-                elif on:
-                    out.append((*key, start, last_on, n, False))
-                    on = 0
-            state.update((on, start, last_on, n, seen))
-            if idle_s is not None:
-                state.setTimeoutTimestamp(max(seen // 1000 + int(idle_s * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[*keys, "t_on_us", "t_off_us", "n_rows", "timed_out"])
-
-    schema = _keyed(stream, keys) + ", t_on_us bigint, t_off_us bigint, n_rows bigint, timed_out boolean"
-    mode = GroupStateTimeout.EventTimeTimeout if idle_s is not None else GroupStateTimeout.NoTimeout
-    return stream.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(step, schema, "on bigint, start bigint, last_on bigint, n bigint, seen bigint", "append", mode)
-
-
-def gap_watchdog(stream: DataFrame, keys: Sequence[str], gap_s: float, *, late: str = "10 minutes") -> DataFrame:
-    """A row per silent stretch: seen inside a trigger, or by the timer while it lasts."""
-    keys = list(keys)
-    gap = int(gap_s * US)
-
-    def step(key, batches, state: GroupState):
-        out = []
-        (seen,) = state.get if state.exists else (-1,)
-        if state.hasTimedOut:
-            out.append((*key, seen, -1))
-            state.remove()
-        else:
-            for t in _rows(batches)["ts_us"].tolist():
-                if 0 <= seen < t - gap:
-                    out.append((*key, seen, t))
-                seen = max(seen, t)
-            state.update((seen,))
-            state.setTimeoutTimestamp(max((seen + gap) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[*keys, "last_us", "next_us"])
-
-    return stream.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(step, _keyed(stream, keys) + ", last_us bigint, next_us bigint", "seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
+def hysteresis(stream: DataFrame, keys: Sequence[str], hi: float, lo: float, *, idle_s: float | None = None, late: str = "10 minutes",
+               slot_s: float = 60.0, order: str | None = None) -> DataFrame:
+    """Detector with an open episode as state; closes at a low reading, or after `idle_s` without any
+    (an event-time timer closes the last one). Rows within `late` of the newest stamp may come in any order."""
+    idle = None if idle_s is None else int(idle_s * US)
+    return in_order(stream, keys, Hysteresis(hi, lo, idle), late=late, slot_s=slot_s, order=order)
+
+
+def gap_watchdog(stream: DataFrame, keys: Sequence[str], gap_s: float, *, late: str = "10 minutes", slot_s: float = 60.0) -> DataFrame:
+    """A row per silent stretch; one more by the timer, with next_us -1, for a stretch that lasts when the watermark has passed its length."""
+    return in_order(stream, keys, Gaps(int(gap_s * US)), late=late, slot_s=slot_s)
 
 
 def ingest_gate(stream: DataFrame, keys: Sequence[str], *, max_w: float = 23_000.0, late: str = "10 minutes") -> DataFrame:
@@ -121,21 +64,7 @@ def ingest_gate(stream: DataFrame, keys: Sequence[str], *, max_w: float = 23_000
     return ok.withWatermark("ts", late).dropDuplicatesWithinWatermark([*keys, "ts_us"])
 
 
-def running_energy(stream: DataFrame, keys: Sequence[str], max_hold_s: float = 60.0, *, late: str = "10 minutes") -> DataFrame:
-    """Energy so far per key, one row per trigger in which the key had readings."""
-    keys = list(keys)
-    cap = int(max_hold_s * US)
-
-    def step(key, batches, state: GroupState):
-        last_t, last_w, total = state.get if state.exists else (-1, 0.0, 0.0)
-        d = _rows(batches)
-        for t, w in zip(d["ts_us"].tolist(), d["w"].tolist()):
-            if t < last_t:
-                continue
-            if last_t >= 0:
-                total += last_w * min(t - last_t, cap) / 3.6e9
-            last_t, last_w = t, w
-        state.update((last_t, last_w, total))
-        yield pd.DataFrame([(*key, last_t, total)], columns=[*keys, "ts_us", "energy_wh"])
-
-    return stream.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(step, _keyed(stream, keys) + ", ts_us bigint, energy_wh double", "t bigint, w double, total double", "append", GroupStateTimeout.NoTimeout)
+def running_energy(stream: DataFrame, keys: Sequence[str], max_hold_s: float = 60.0, *, late: str = "10 minutes", slot_s: float = 60.0,
+                   order: str | None = None) -> DataFrame:
+    """Energy so far per key, one row per time slot in which the key had readings."""
+    return in_order(stream, keys, HoldEnergy(int(max_hold_s * US)), late=late, slot_s=slot_s, order=order)

@@ -181,9 +181,9 @@ SCHEMA = "k bigint, ts timestamp, ts_us bigint, w double"
 
 
 def stream_of(spark, triggers):
-    """One file per trigger, in order."""
+    """One file per trigger, in order; the last one moves the watermark past all rows."""
     path = scratch_path(spark, "in")
-    for i, rows in enumerate(triggers):
+    for i, rows in enumerate([*triggers, [(None, 10 ** 7, -1)]]):
         df = spark.createDataFrame([(k, t * S, float(w)) for k, t, w in rows], "k bigint, ts_us bigint, w double").select("k", F.timestamp_micros("ts_us").alias("ts"), "ts_us", "w")
         df.coalesce(1).write.mode("append").parquet(path)
         import time
@@ -193,15 +193,16 @@ def stream_of(spark, triggers):
 
 
 def test_stream_state_crosses_triggers(spark):
-    trig = [[(0, 0, 0), (0, 10, 100), (1, 0, 100)], [(0, 20, 30), (0, 30, 0), (1, 400, 100)], [(0, 5000, 100), (1, 5000, 0)], [(0, 20000, 0), (1, 20000, 0)]]
+    trig = [[(0, 0, 0), (0, 10, 100), (1, 1, 100)], [(0, 20, 30), (0, 30, 0), (1, 400, 100)], [(0, 5000, 100), (1, 5000, 0)], [(0, 20000, 0), (1, 20000, 0)]]
     h = ON.run_to_table(ON.hysteresis(stream_of(spark, trig), ["k"], 50.0, 25.0, late="10 seconds"), "h").collect()
     # 30 W keeps the episode open; it ends at its last reading above the low level
-    assert sorted((r.k, r.t_on_us // S, r.t_off_us // S, r.n_rows) for r in h) == [(0, 10, 20, 2), (0, 5000, 5000, 1), (1, 0, 400, 2)]
+    assert sorted((r.k, r.t_on_us // S, r.t_off_us // S, r.n_rows) for r in h) == [(0, 10, 20, 2), (0, 5000, 5000, 1), (1, 1, 400, 2)]
     e = ON.run_to_table(ON.running_energy(stream_of(spark, trig), ["k"], 60.0, late="10 seconds"), "e").groupBy("k").agg(F.max("energy_wh").alias("e")).collect()
     assert {r.k: round(r.e * 3600, 6) for r in e} == {0: 100 * 10 + 30 * 10 + 100 * 60, 1: 100 * 60 + 100 * 60}
     g = ON.run_to_table(ON.gap_watchdog(stream_of(spark, trig), ["k"], 1000.0, late="10 seconds"), "g").collect()
     seen = {(r.k, r.last_us // S) for r in g}
     assert {(0, 30), (1, 400), (0, 5000), (1, 5000)} <= seen
+    assert {(r.k, r.last_us // S) for r in g if r.next_us == -1} >= {(0, 20000), (1, 20000)}
 
 
 def test_stream_timer_and_gate(spark):
