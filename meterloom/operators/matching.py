@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .episodes import us
-from .joins import asof_join, overlap_join, points_in
-from .ordered import DAY_US, bucket_of, islands, ordered_scan
+from .joins import overlap_join, points_in
+from .ordered import DAY_US, bucket_of, ordered_scan
 from .quantiles import exact_quantiles
 from .stats import prf
 
-FOLD_LIMIT = 4096  # events of one component folded in one task; larger ones take the rounds
 EV = "struct<t:bigint,side:int,off:bigint,id:bigint>"
 PAIR = "struct<g_id:bigint,p_id:bigint,g_on:bigint,g_off:bigint,p_on:bigint,p_off:bigint>"
 
@@ -26,27 +25,50 @@ def _events(df: DataFrame, keys, side: int) -> DataFrame:
     return d.select(*keys, "t", F.lit(side).alias("side"), "off", "id")
 
 
-def match_onsets(truth: DataFrame, pred: DataFrame, keys: Sequence[str], tau_us: int, *, chunk_us: int = DAY_US,
-                 fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def _chained(tables: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, chunk, state at its start, from chunks that say what state each possible state at their start leads to.
+
+    `table` holds the states behind a chunk for the states `low`, low + 1, ... before it; a state is a whole number and
+    0 before the first chunk of a key and behind every missing one. Tables are composed along the chunks of a
+    key, so no chunk waits for its neighbour's rows.
+    """
+    keys = list(keys)
+    per = tables.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "low", "table"))).alias("s"))
+    first = F.struct(F.lit(None).cast("bigint").alias("next"), F.lit(0).alias("state"), F.expr("cast(array() as array<struct<chunk:bigint,state:int>>)").alias("out"))
+
+    def step(acc, c):
+        state = F.when(acc["next"] == c["chunk"], acc["state"]).otherwise(0)
+        return F.struct((c["chunk"] + 1).alias("next"), F.coalesce(F.get(c["table"], state - c["low"]), F.lit(0)).alias("state"),
+                        F.concat(acc["out"], F.array(F.struct(c["chunk"].alias("chunk"), state.cast("int").alias("state")))).alias("out"))
+
+    return per.select(*keys, F.explode(F.aggregate("s", first, step, lambda a: a["out"])).alias("o")).select(*keys, "o.chunk", "o.state")
+
+
+def match_onsets(truth: DataFrame, pred: DataFrame, keys: Sequence[str], tau_us: int, *, chunk_us: int = DAY_US) -> DataFrame:
     """Greedy one-to-one matching in time order of onsets within `tau_us`.
 
-    Each onset takes the earliest free partner. Onsets further apart than tau
-    from their neighbours on both sides can never meet across the hole, so the
-    union of both lists is cut there and every component is folded by itself.
-    Components over `fold_limit` are matched by distributed rounds instead
-    (`match_rounds`), with the same result. Output: keys, g_id, p_id, g_on,
-    g_off, p_on, p_off.
+    Each onset takes the earliest free partner. Walking both lists in time, the onsets that still wait are
+    always the last few of one list, so what passes from one time chunk to the next is one signed number (truth
+    positive). Every chunk is walked once for each number that could come in (as many as there are onsets
+    within tau before its edge), the answers are composed along the chunks, and each chunk is walked
+    again with the number that does come in. Output: keys, g_id, p_id, g_on, g_off, p_on, p_off.
     """
     keys = list(keys)
-    ev = cut_lineage(_events(truth, keys, 0).unionByName(_events(pred, keys, 1)))  # onsets only, read three times below
-    comp = islands(ev, keys, ["t", "side", "id"], bucket_of("t", chunk_us), row={"t": "t"},
-                   breaks=lambda p, c: (c["t"] - p["t"]) > tau_us)
-    comp = cut_lineage(comp.select(*keys, F.col("first.t").alias("c0"), F.col("last.t").alias("c1"), F.col("n_rows").alias("size")))
-    lab = points_in(ev, comp, keys, start="c0", end="c1", ts="t", bucket_us=chunk_us)
-    small = (lab.where(F.col("size") <= fold_limit).groupBy(*keys, "c0")
-             .agg(F.array_sort(F.collect_list(F.struct("t", "side", "off", "id"))).alias("e")))
+    width = max(int(chunk_us), int(tau_us) + 1)  # nothing waits through a whole chunk
+    ev = _events(truth, keys, 0).unionByName(_events(pred, keys, 1))
+    own = bucket_of("t", width)
+    late = F.col("t") >= (own + 1) * width - tau_us
+    placed = ev.select(*keys, F.struct("t", "side", "off", "id").alias("e"), F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("chunk"), own.alias("_own"))
+    mine = F.col("_own") == F.col("chunk")
+    held = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("e"))))
+    chunks = placed.groupBy(*keys, "chunk").agg(held(mine).alias("e"), held(~mine & (F.col("e.side") == 0)).alias("g"), held(~mine & (F.col("e.side") == 1)).alias("p")).where(F.size("e") > 0)
+    chunks = cut_lineage(chunks)  # onsets only
     none = F.expr(f"cast(array() as array<{EV}>)")
-    start = F.struct(none.alias("pend"), F.expr(f"cast(array() as array<{PAIR}>)").alias("pairs"))
+
+    def waiting(n):
+        """The last n of the truths before the chunk, or the last -n of the predictions."""
+        tail = lambda c, k: F.slice(F.col(c), F.size(c) - k + 1, k)
+        return F.when(n > 0, tail("g", n)).when(n < 0, tail("p", -n)).otherwise(none)
 
     def step(acc, x):
         alive = F.filter(acc["pend"], lambda e: x["t"] - e["t"] <= tau_us)
@@ -59,39 +81,51 @@ def match_onsets(truth: DataFrame, pred: DataFrame, keys: Sequence[str], tau_us:
         return F.struct(F.when(met, F.slice(alive, F.lit(2), F.greatest(F.size(alive), F.lit(1)))).otherwise(F.concat(alive, F.array(x))).alias("pend"),
                         F.when(met, F.concat(acc["pairs"], F.array(pair))).otherwise(acc["pairs"]).alias("pairs"))
 
-    out = small.select(*keys, F.explode(F.aggregate("e", start, step, lambda a: a["pairs"])).alias("m")).select(*keys, "m.*")
-    if comp.where(F.col("size") > fold_limit).isEmpty():
-        return out
-    big = lab.where(F.col("size") > fold_limit)
-    return out.unionByName(match_rounds(big.where("side = 0"), big.where("side = 1"), keys, tau_us, chunk_us=chunk_us))
+    def walk(n, out):
+        return F.aggregate("e", F.struct(waiting(n).alias("pend"), F.expr(f"cast(array() as array<{PAIR}>)").alias("pairs")), step, out)
 
+    def left(acc):
+        still = F.filter(acc["pend"], lambda e: e["t"] >= (F.col("chunk") + 1) * width - tau_us)
+        return F.when(F.get(still, F.lit(0))["side"] == 1, -F.size(still)).otherwise(F.size(still))
 
-def match_rounds(g: DataFrame, p: DataFrame, keys: Sequence[str], tau_us: int, *, chunk_us: int = DAY_US) -> DataFrame:
-    """The same matching by rounds: a pair is final when each is the other's
-    earliest free candidate. Candidates come from as-of joins, so no list of
-    pairs is ever built; lineage is cut after every round."""
-    keys = list(keys)
-    cols = [*keys, "t", "off", "id"]
-    g, p = g.select(*cols), p.select(*cols)
-    done = []
+    tables = chunks.select(*keys, "chunk", (-F.size("p")).alias("low"), F.transform(F.sequence(-F.size("p"), F.size("g")), lambda n: walk(n, left)).alias("table"))
+    ready = chunks.join(_chained(tables, keys), [*keys, "chunk"])
+    return ready.select(*keys, F.explode(walk(F.col("state"), lambda a: a["pairs"])).alias("m")).select(*keys, "m.*")
 
-    def first(a, b):
-        """For each row of a the earliest row of b within tau (duplicate stamps: lowest id)."""
-        b1 = b.groupBy(*keys, "t").agg(F.min(F.struct("id", "off")).alias("x")).select(*keys, F.col("t").alias("ts_us"), "x.id", "x.off")
-        a1 = a.withColumn("ts_us", F.col("t") - tau_us)
-        return asof_join(a1, b1, keys, ["id", "off"], tolerance_us=2 * tau_us, direction="forward", chunk_us=chunk_us, prefix="b_").where("b_id is not null")
-
-    while True:
-        fg = first(g, p).select(*keys, F.col("id").alias("g_id"), F.col("t").alias("g_on"), F.col("off").alias("g_off"), F.col("b_id").alias("p_id"),
-                                F.col("b_ts_us").alias("p_on"), F.col("b_off").alias("p_off"))
-        fp = first(p, g).select(*keys, F.col("b_id").alias("g_id"), F.col("id").alias("p_id"))
-        m = cut_lineage(fg.join(fp, [*keys, "g_id", "p_id"]).select(*keys, "g_id", "p_id", "g_on", "g_off", "p_on", "p_off"))
-        if m.isEmpty():
-            break
-        done.append(m)
-        g = cut_lineage(g.join(m.select(*keys, F.col("g_id").alias("id")), [*keys, "id"], "left_anti"))
-        p = cut_lineage(p.join(m.select(*keys, F.col("p_id").alias("id")), [*keys, "id"], "left_anti"))
-    return reduce(DataFrame.unionByName, done) if done else m
+
+def match_first_fit(truth: DataFrame, pred: DataFrame, keys: Sequence[str], tau_us: int, *, chunk_us: int = DAY_US) -> DataFrame:
+    """Each prediction in time order takes the first unused truth (in time order) within `tau_us`.
+
+    No prediction takes an earlier truth than the one before it did, so what passes between chunks of predictions
+    is how many of the truths around the edge are behind the last one taken. Output: keys, g_id, p_id, g_on, p_on.
+    """
+    keys = list(keys)
+    width = max(int(chunk_us), 2 * int(tau_us) + 1)
+    g = _events(truth, keys, 0).select(*keys, F.struct("t", "id").alias("x"), F.explode(F.sequence(bucket_of(F.col("t") - tau_us, width), bucket_of(F.col("t") + tau_us, width))).alias("chunk"))
+    p = _events(pred, keys, 1).select(*keys, F.struct("t", "id").alias("x"), bucket_of("t", width).alias("chunk"))
+    listed = lambda d, n: d.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list("x")).alias(n))
+    chunks = cut_lineage(listed(p, "p").join(listed(g, "g"), [*keys, "chunk"]))  # predictions without any truth near match nothing
+    edge = F.col("chunk") * width
+    near = lambda e: F.filter("g", lambda x: (x["t"] >= e - tau_us) & (x["t"] < e + tau_us))
+
+    def take(acc, x):
+        # the first truth not passed yet that is not too early
+        i = F.aggregate("g", F.struct(F.lit(0).alias("n"), F.lit(-1).alias("i")),
+                        lambda a, y: F.struct((a["n"] + 1).alias("n"), F.when((a["i"] < 0) & (a["n"] >= acc["k"]) & (y["t"] >= x["t"] - tau_us), a["n"]).otherwise(a["i"]).alias("i")), lambda a: a["i"])
+        return F.transform(F.array(i), lambda j: F.when((j < 0) | (F.get("g", j)["t"] > x["t"] + tau_us), acc).otherwise(F.struct(
+            (j + 1).alias("k"), F.concat(acc["m"], F.array(F.struct(F.get("g", j)["id"].alias("g_id"), x["id"].alias("p_id"), F.get("g", j)["t"].alias("g_on"), x["t"].alias("p_on")))).alias("m"))))[0]
+
+    def walk(n, out):
+        # truths of the chunk begin with those around its first edge
+        return F.aggregate("p", F.struct(n.cast("int").alias("k"), F.expr("cast(array() as array<struct<g_id:bigint,p_id:bigint,g_on:bigint,p_on:bigint>>)").alias("m")), take, out)
+
+    def passed(acc):
+        """How many of the truths around the next edge are behind the last one taken."""
+        return F.greatest(acc["k"] - F.size(F.filter("g", lambda x: x["t"] < edge + width - tau_us)), F.lit(0))
+
+    tables = chunks.select(*keys, "chunk", F.lit(0).alias("low"), F.transform(F.sequence(F.lit(0), F.size(near(edge))), lambda n: walk(n, passed)).alias("table"))
+    ready = chunks.join(_chained(tables, keys), [*keys, "chunk"])
+    return ready.select(*keys, F.explode(walk(F.col("state"), lambda a: a["m"])).alias("m")).select(*keys, "m.*")
 
 
 def greedy_pairs(cands: DataFrame, keys: Sequence[str], left: str, right: str, order: Sequence[str]) -> DataFrame:
@@ -170,3 +204,24 @@ def span_stats(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     e = e.withColumn("_a", F.abs("onset_err_s")).withColumn("_b", F.abs("offset_err_s"))
     return exact_quantiles(e, by, {"onset_med_s": ("onset_err_s", 0.5), "onset_p90_abs_s": ("_a", 0.9), "offset_med_s": ("offset_err_s", 0.5),
                                    "offset_p90_abs_s": ("_b", 0.9), "dur_ratio_med": ("dur_ratio", 0.5), "iou_med": ("iou", 0.5)}, {"n_pairs": "iou"})
+
+
+def cheapest_assignment(left: Column, right: Column, cost) -> Column:
+    """Struct of `cost` and `chosen`: for every item of `left` the place (from 0) of its own item of `right`, at the least total cost.
+
+    One step per item of `left`; between steps one entry is kept for each set of places in use, the cheapest,
+    of equals that of the smallest places. 2**n entries instead of n! orders, for arrays of up to a dozen items, `left`
+    being no longer than `right`. `cost` takes an item of each.
+    """
+    none = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("chosen"))
+    places = F.sequence(F.lit(0), F.size(right) - 1)
+
+    def step(held: Column, a: Column) -> Column:
+        more = F.flatten(F.transform(held, lambda s: F.transform(
+            F.filter(places, lambda j: ~F.array_contains(s["chosen"], j)),
+            lambda j: F.struct((s["used"] + F.pow(F.lit(2.0), j).cast("bigint")).alias("used"), (s["cost"] + cost(a, F.get(right, j))).alias("cost"), F.concat(s["chosen"], F.array(j)).alias("chosen")))))
+        return F.element_at(F.transform(F.array(more), lambda c: F.transform(F.array_distinct(F.transform(c, lambda m: m["used"])), lambda u: F.array_min(F.filter(c, lambda m: m["used"] == u)))), 1)
+
+    best = F.aggregate(left, F.array(none), step)
+    least = F.array_min(F.transform(best, lambda s: F.struct(s["cost"].alias("cost"), s["chosen"].alias("chosen"))))
+    return F.when((F.size(left) > 0) & (F.size(left) <= F.size(right)), least)

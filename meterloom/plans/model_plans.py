@@ -200,35 +200,26 @@ p AS (SELECT house, p0, p1, p2, abs(a0 - [b0, b1, b2][p0 + 1]) + abs(a1 - [b0, b
 b AS (SELECT house, min(cost) AS cost, min_by([p0, p1, p2], (cost, p0, p1, p2)) AS pm FROM p GROUP BY house)
 SELECT house, unnest([0, 1, 2]) AS component, unnest(pm) AS device, cost FROM b""")
 def m19(t):
-    """Cheapest one-to-one assignment: every permutation of at most five levels is priced."""
+    """Cheapest one-to-one assignment of the levels of three components to three devices, by a fold over the sets of places in use."""
     d = t.channels
     lv = lambda n, lo: F.avg(F.when((F.col("device") == n) & (F.col("w") > lo), F.col("w")))
     m = d.groupBy("house").agg(F.array(lv("click", -1), lv("view", -1), lv("error", -1)).alias("a"), F.array(lv("signup", 5), lv("purchase", 5), lv("purchase", 1)).alias("b"))
-    import itertools
-
-    perms = F.explode(F.array(*[F.array(*map(F.lit, p)) for p in itertools.permutations(range(3))]))
-    x = m.select("house", "a", "b", perms.alias("pm"))
-    cost = F.aggregate(F.sequence(F.lit(0), F.size("a") - 1), F.lit(0.0), lambda s, i: s + F.abs(F.get("a", i) - F.get(F.col("b"), F.get(F.col("pm"), i))))
-    best = x.withColumn("cost", cost).groupBy("house").agg(F.min_by(F.struct("pm", "cost"), F.struct("cost", "pm")).alias("z"))
-    return best.select("house", "z.cost", F.posexplode("z.pm").alias("component", "device"))
+    best = m.select("house", M.cheapest_assignment(F.col("a"), F.col("b"), lambda x, y: F.abs(x - y)).alias("z"))
+    return best.select("house", "z.cost", F.posexplode("z.chosen").alias("component", "device"))
 
 
 def em_params(t, par):
     """Levels fitted without sessions on the 30 days before the split, one component for each device of the last
     parameter row: the cheapest assignment by level. One row per house, in the form of `param_rows`."""
-    import itertools
-
     train = t.mains.where((F.col("ts_us") >= SPLIT - 30 * DAY_US) & (F.col("ts_us") < SPLIT))
     names = [f"c{i}" for i in range(5)]
     noise = cut_lineage(par.select("house", "floor_w", "sigma_off").distinct())
     fit = cut_lineage(D.em_fit(train, ["house"], names, noise, cadence_s=600.0, chunk_steps=2048, warm_steps=64))
     last = par.groupBy("house").agg(F.max_by(F.struct("devices", F.col("mu").alias("hat"), "sigma_off", "floor_w"), "row_id").alias("z")).select("house", "z.*")
-    perms = F.explode(F.array(*[F.array(*map(F.lit, p)) for p in itertools.permutations(range(len(names)))]))
-    x = fit.select("house", "mu", "sd", "p_stay").join(last, "house").withColumn("pm", perms)
+    x = fit.select("house", "mu", "sd", "p_stay").join(last, "house").withColumn("pm", M.cheapest_assignment(F.col("hat"), F.col("mu"), lambda x, y: F.abs(x - y))["chosen"])
     at = F.sequence(F.lit(0), F.size("devices") - 1)
-    cost = F.aggregate(at, F.lit(0.0), lambda s, i: s + F.abs(F.get("hat", i) - F.get(F.col("mu"), F.get(F.col("pm"), i))))
     own = lambda c: F.transform(at, lambda i: F.get(F.col(c), F.get(F.col("pm"), i))).alias(c)
-    best = x.withColumn("cost", cost).groupBy("house").agg(F.min_by(F.struct("devices", own("mu"), own("sd"), own("p_stay"), "sigma_off", "floor_w"), F.struct("cost", "pm")).alias("z"))
+    best = x.select("house", F.struct("devices", own("mu"), own("sd"), own("p_stay"), "sigma_off", "floor_w").alias("z"))
     return best.select("house", F.lit(0).alias("k"), F.lit(0).alias("draw"), F.lit(0).cast("bigint").alias("row_id"), "z.*")
 
 

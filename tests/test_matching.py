@@ -38,16 +38,48 @@ def test_two_pointer_equals_first_fit():
         assert two_pointer(g, p, tau) == first_fit(g, p, tau)
 
 
-@pytest.mark.parametrize("limit", [4096, 3])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_match_onsets(spark, seed, limit):
-    g, p = spans(seed, 25), spans(seed + 50, 25)
-    got = M.match_onsets(df(spark, g), df(spark, p), ["k"], 3 * S, chunk_us=10 * S, fold_limit=limit)
+@pytest.mark.parametrize("chunk", [1, 10 * S, 1000 * S])
+@pytest.mark.parametrize("seed,spread,tau", [(1, 120, 3), (2, 60, 4), (3, 40, 9)])
+def test_match_onsets(spark, seed, spread, tau, chunk):
+    """Dense onsets, which wait over several edges."""
+    g, p = spans(seed, 25, spread), spans(seed + 50, 25, spread)
     exp = []
     for k in range(3):
         a, b = [x[1] for x in g if x[0] == k], [x[1] for x in p if x[0] == k]
-        exp += [(k, a[i], b[j]) for i, j in two_pointer(a, b, 3 * S)]
+        exp += [(k, a[i], b[j]) for i, j in two_pointer(a, b, tau * S)]
+    got = M.match_onsets(df(spark, g), df(spark, p), ["k"], tau * S, chunk_us=chunk)
     assert sorted((r.k, r.g_on, r.p_on) for r in got.collect()) == sorted(exp)
+    got = M.match_first_fit(df(spark, g), df(spark, p), ["k"], tau * S, chunk_us=chunk)
+    assert sorted((r.k, r.g_on, r.p_on) for r in got.collect()) == sorted(exp)
+
+
+def test_match_onsets_that_never_rest(spark):
+    """Every onset lies within tau of the next, and each pairing shifts all later ones."""
+    g = [(0, 2 * i * S, 2 * i * S + 1) for i in range(150)]
+    p = [(0, (2 * i + 1) * S, (2 * i + 1) * S + 1) for i in range(1, 150) if i % 40]
+    exp = two_pointer([x[1] for x in g], [x[1] for x in p], 5 * S)
+    for chunk in (1, 30 * S):
+        got = M.match_onsets(df(spark, g), df(spark, p), ["k"], 5 * S, chunk_us=chunk).collect()
+        assert sorted((r.g_on, r.p_on) for r in got) == sorted((g[i][1], p[j][1]) for i, j in exp)
+    assert M.match_onsets(df(spark, g), df(spark, []), ["k"], 5 * S).count() == 0
+    assert M.match_first_fit(df(spark, []), df(spark, p), ["k"], 5 * S).count() == 0
+
+
+def test_cheapest_assignment(spark):
+    r = random.Random(6)
+    rows = [(i, [float(r.randint(0, 9)) for _ in range(n)], [float(r.randint(0, 9)) for _ in range(m)]) for i, (n, m) in enumerate([(5, 5)] * 12 + [(3, 5), (1, 1), (2, 4), (0, 2), (3, 2)])]
+    got = spark.createDataFrame(rows, "i int, a array<double>, b array<double>").select("i", M.cheapest_assignment(F.col("a"), F.col("b"), lambda x, y: F.abs(x - y)).alias("z")).collect()
+    for row in got:
+        _, a, b = rows[row.i]
+        if not a or len(a) > len(b):
+            assert row.z is None
+            continue
+        assert (row.z.cost, row.z.chosen) == min((sum(abs(x - b[j]) for x, j in zip(a, c)), list(c)) for c in itertools.permutations(range(len(b)), len(a)))
+    # ten devices: levels that are a shuffle of each other have one assignment without cost
+    levels = [float(3 ** i) for i in range(10)]
+    mixed = r.sample(levels, 10)
+    z = spark.createDataFrame([(levels, mixed)], "a array<double>, b array<double>").select(M.cheapest_assignment(F.col("a"), F.col("b"), lambda x, y: F.abs(x - y)).alias("z")).first().z
+    assert z.cost == 0 and [mixed[j] for j in z.chosen] == levels
 
 
 @pytest.mark.parametrize("seed", [3, 4])
