@@ -168,3 +168,40 @@ def overlap_flag(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
            .withColumn("_hit", F.lit(True)))
     on = list(dict.fromkeys([*keys, *left_id]))
     return left.join(hit, on, "left").withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def overlap_count(left: DataFrame, right: DataFrame, keys: Sequence[str], *, left_span: tuple[str, str], right_span: tuple[str, str],
+                  left_id: Sequence[str], out: str, other: str | None = None, touch: bool = False, chunk_us: int = DAY_US) -> DataFrame:
+    """Left rows with the number of right intervals that overlap theirs; no pair is ever built.
+
+    The number is a difference of ranks: starts before the interval's end less ends before its start, both
+    running counts over the end points of one key, so the rows stay linear in the input however many intervals
+    overlap. `touch` also counts intervals that share just an end point (a reading is an interval of no
+    length). With `other`, intervals of the same value in that column are not counted. `keys` and `left_id`
+    together name a left row; intervals end no earlier than they start.
+    """
+    keys, ident = list(keys), list(dict.fromkeys([*keys, *left_id]))
+    (ls, le), (rs, re_) = left_span, right_span
+
+    def counted(by: list[str], name: str) -> DataFrame:
+        point = F.col(rs) == F.col(re_)  # of no length: inside only if strictly between the ends
+        one = lambda c: F.when(c, 1).otherwise(0)
+        flat = F.lit(touch) | ~point
+        ends = [F.struct(F.col(rs).alias("t"), one(flat).alias("s"), F.lit(0).alias("e"), one(~flat).alias("z")),
+                F.struct(F.col(re_).alias("t"), F.lit(0).alias("s"), one(flat).alias("e"), F.lit(0).alias("z"))]
+        ids = [F.lit(None).cast(left.schema[c].dataType).alias(f"_i{i}") for i, c in enumerate(ident)]
+        r = right.select(*by, F.explode(F.array(*ends)).alias("x"), *ids).select(*by, "x.*", F.lit(1).alias("_p"), *[f"_i{i}" for i in range(len(ident))])
+        # at equal stamps: what is asked of the end comes before the starts there, unless touching counts, and the other way round
+        asks = [F.struct(F.col(le).alias("t"), F.lit(2 if touch else 0).alias("_p")), F.struct(F.col(ls).alias("t"), F.lit(0 if touch else 2).alias("_p"))]
+        q = left.select(*by, F.posexplode(F.array(*asks)).alias("_at", "x"), *[F.col(c).alias(f"_i{i}") for i, c in enumerate(ident)])
+        q = q.select(*by, F.col("x.t").alias("t"), *[F.lit(0).alias(c) for c in "sez"], F.col("x._p").alias("_p"), *[f"_i{i}" for i in range(len(ident))], "_at")
+        both = r.withColumn("_at", F.lit(None).cast("int")).select(q.columns).union(q)
+        ran = ordered_scan(both, by, ["t", "_p"], bucket_of("t", chunk_us), running_sum={"_s": "s", "_e": "e", "_z": "z"}).where("_at IS NOT NULL")
+        at = lambda c, n: F.max(F.when(F.col("_at") == n, F.col(c)))
+        got = ran.groupBy(*[f"_i{i}" for i in range(len(ident))]).agg((at("_s", 0) - at("_e", 1) + F.greatest(at("_z", 0) - at("_z", 1), F.lit(0))).alias(name))
+        return got.select(*[F.col(f"_i{i}").alias(c) for i, c in enumerate(ident)], name)
+
+    n = counted(keys, "_all")
+    if other is not None:
+        n = n.join(counted([*keys, other], "_same"), ident).select(*ident, (F.col("_all") - F.col("_same")).alias("_all"))
+    return left.join(n, ident, "left").select(*left.columns, F.coalesce("_all", F.lit(0)).cast("bigint").alias(out))

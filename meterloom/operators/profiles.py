@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .episodes import us
-from .joins import last_before, next_after, overlap_flag, overlap_join, points_in
+from .joins import last_before, next_after, overlap_count, overlap_join, points_in
 from .ordered import DAY_US, join_dim
 from .quantiles import exact_quantiles
 
@@ -41,8 +41,8 @@ def cover_share(sessions: DataFrame, others: DataFrame, keys: Sequence[str], max
 
 def tag_cooccurring(ep: DataFrame, keys: Sequence[str], *, device: str = "device", bucket_us: int = DAY_US) -> DataFrame:
     """`co` is true when the episode overlaps one of another device."""
-    return overlap_flag(ep, ep.select(*keys, device, *SPAN), keys, left_span=SPAN, right_span=SPAN, out="co",
-                        left_id=[device, "t_on_us"], bucket_us=bucket_us, extra=F.col(f"l.{device}") != F.col(f"r.{device}"))
+    out = overlap_count(ep, ep, keys, left_span=SPAN, right_span=SPAN, left_id=[device, "t_on_us"], out="_n", other=device, chunk_us=bucket_us)
+    return out.select(*ep.columns, (F.col("_n") > 0).alias("co"))
 
 
 def onset_interference(ep: DataFrame, keys: Sequence[str], pad_s: float, *, device: str = "device",
@@ -50,9 +50,8 @@ def onset_interference(ep: DataFrame, keys: Sequence[str], pad_s: float, *, devi
     """`interfered`: another device's episode is open within `pad_s` of the onset."""
     pad = us(pad_s)
     a = ep.withColumn("_a", F.col("t_on_us") - pad).withColumn("_z", F.col("t_on_us") + pad)
-    out = overlap_flag(a, ep.select(*keys, device, *SPAN), keys, left_span=("_a", "_z"), right_span=SPAN, out="interfered",
-                       left_id=[device, "t_on_us"], bucket_us=bucket_us, touch=True, extra=F.col(f"l.{device}") != F.col(f"r.{device}"))
-    return out.drop("_a", "_z")
+    out = overlap_count(a, ep, keys, left_span=("_a", "_z"), right_span=SPAN, left_id=[device, "t_on_us"], out="_n", other=device, touch=True, chunk_us=bucket_us)
+    return out.select(*ep.columns, (F.col("_n") > 0).alias("interfered"))
 
 
 def readings_in(readings: DataFrame, ep: DataFrame, keys: Sequence[str], ids: Sequence[str], *,

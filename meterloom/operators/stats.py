@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .energy import hold_energy
 from .episodes import gaps, numbered, sample_episodes, with_previous
-from .ordered import DAY_US, bucket_of, join_dim
+from .ordered import DAY_US, bucket_of, join_dim, ordered_scan
 from .quantiles import exact_quantiles, with_quantiles
 
 NOISE_FLOOR_W = 5.0  # fixed value: watts below which a channel is idle
@@ -225,3 +226,30 @@ def expected_verdicts(label: Column) -> Column:
             .when(low.rlike("|".join(COLD_WORDS)), F.array(F.lit("COMPRESSOR")))
             .when(low.contains("vacuum"), F.array(F.lit("EPISODIC-HIGH")))
             .otherwise(F.array(F.lit("TRICKLE"), F.lit("STANDBY-PLATEAU"), F.lit("WEAK"))))
+
+
+def register_integral(register: DataFrame, readings: DataFrame, keys: Sequence[str], *, max_hold_s: float, unit_wh: float = 1.0, chunk_us: int = DAY_US) -> DataFrame:
+    """keys, span (last less first count), naive_ratio (sum of rises over span), integral (power held at most
+    `max_hold_s`, in register units) and gap_share, the difference of span and integral over the span."""
+    keys = list(keys)
+    d = ordered_scan(register, keys, ["ts_us", "seq"], bucket_of("ts_us", chunk_us), lag={"_p": "k"})
+    pos = F.struct("ts_us", "seq")
+    s = d.groupBy(*keys).agg((F.max_by("k", pos) - F.min_by("k", pos)).alias("span"), F.sum(F.greatest(F.col("k") - F.col("_p"), F.lit(0))).alias("_rises"))
+    e = hold_energy(readings, keys, max_hold_s, chunk_us=chunk_us).groupBy(*keys).agg((F.coalesce(F.sum("e_wh"), F.lit(0.0)) / unit_wh).alias("integral"))
+    whole = F.when(F.col("span") != 0, F.col("span"))
+    return s.join(e, keys).select(*keys, "span", (F.coalesce("_rises", F.lit(0)) / whole).alias("naive_ratio"), "integral", (F.abs(F.col("span") - F.col("integral")) / F.abs(whole)).alias("gap_share"))
+
+
+def wrap_sizes(register: DataFrame, keys: Sequence[str], *, least: int, chunk_us: int = DAY_US) -> DataFrame:
+    """keys, unit (smallest drop of at least `least`), n_drops of that kind, n_wraps (whole multiples of the unit), largest."""
+    keys = list(keys)
+    d = ordered_scan(register, keys, ["ts_us", "seq"], bucket_of("ts_us", chunk_us), lag={"_p": "k"}).select(*keys, (F.col("_p") - F.col("k")).alias("_drop")).where(F.col("_drop") >= least)
+    per = d.groupBy(*keys, "_drop").agg(F.count(F.lit(1)).alias("n"))
+    unit = per.groupBy(*keys).agg(F.min("_drop").alias("unit"))
+    return per.join(unit, keys).groupBy(*keys, "unit").agg(F.sum("n").alias("n_drops"), F.sum(F.when(F.col("_drop") % F.col("unit") == 0, F.col("n")).otherwise(0)).alias("n_wraps"), F.max("_drop").alias("largest"))
+
+
+def dead_by_energy(df: DataFrame, keys: Sequence[str], *, least_kwh: float = 0.5, max_hold_s: float = 30.0, chunk_us: int = DAY_US) -> DataFrame:
+    """keys, kwh (held readings) and `dead`, below `least_kwh` over the whole span."""
+    e = hold_energy(df, keys, max_hold_s, chunk_us=chunk_us).groupBy(*keys).agg((F.coalesce(F.sum("e_wh"), F.lit(0.0)) / 1000).alias("kwh"))
+    return e.withColumn("dead", F.col("kwh") < least_kwh)

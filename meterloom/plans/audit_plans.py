@@ -74,6 +74,14 @@ def a43(t):
     return c.withColumn("house", F.coalesce(F.col("house").cast("string"), F.lit("all")))
 
 
+@query("a44_dead_by_energy", "meter:i kwh:d dead:b", views="readings", sql="""
+SELECT meter, coalesce(sum(w * least(coalesce(nx - ts_us, 0), 600000000)), 0) / 3.6e12 AS kwh, coalesce(sum(w * least(coalesce(nx - ts_us, 0), 600000000)), 0) / 3.6e12 < 0.5 AS dead
+FROM (SELECT *, lead(ts_us) OVER (PARTITION BY meter ORDER BY ts_us, seq) AS nx FROM readings) GROUP BY meter""")
+def a44_energy(t):
+    """Meters that used less than half a kilowatt hour over the whole span."""
+    return ST.dead_by_energy(t.readings, ["meter"], max_hold_s=600, chunk_us=CH)
+
+
 @query("a44_activity_tiers", "meter:i n:i finite_share:d tier:s unplugged:b stalled:b", views="readings", sql="""
 WITH e AS (SELECT max(ts_us) AS t1 FROM readings),
 a AS (SELECT meter, count(*) AS n, avg(CASE WHEN w >= 10 THEN 1.0 ELSE 0.0 END) AS fs, sum(w) AS sw, max(ts_us) AS tl, min(ts_us) AS t0,

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..operators import episodes as X
 from ..operators import profiles as PR
-from ..operators.joins import asof_join, next_after, overlap_flag, overlap_join, points_in
+from ..operators.joins import asof_join, next_after, overlap_join, points_in
 from ..operators.ordered import DAY_US, bucket_of, join_dim, ordered_scan
 from ..operators.quantiles import exact_quantiles, with_quantiles
 from ..sources.readings import mains_of
@@ -124,9 +124,8 @@ c AS (SELECT DISTINCT house, device, t_on_us FROM p)
 SELECT ep.device, count(*) AS n, count(c.t_on_us) AS covered FROM ep LEFT JOIN c ON ep.house = c.house AND ep.device = c.device AND ep.t_on_us = c.t_on_us GROUP BY ep.device""")
 def j09(t):
     ep = channel_episodes(t).select(*EP_COLS)
-    f = overlap_flag(ep, ep, ["house"], left_span=("t_on_us", "t_off_us"), right_span=("t_on_us", "t_off_us"), out="hit", left_id=["device", "t_on_us"],
-                     bucket_us=4 * HB, extra=F.col("l.device") != F.col("r.device"))
-    return f.groupBy("device").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("covered"))
+    f = PR.tag_cooccurring(ep, ["house"], bucket_us=4 * HB)
+    return f.groupBy("device").agg(F.count(F.lit(1)).alias("n"), F.count_if("co").alias("covered"))
 
 
 @query("j10_cover_share", "house:i device:s t_on_us:i cover:d flagged:b", views="channels", ctes=CHANNEL_EP, sql=OVER_SQL + """

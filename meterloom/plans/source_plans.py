@@ -118,6 +118,27 @@ def a48(t):
     return TX.block_audit(block_lines(t), ["house"])
 
 
+def wider_lines(t):
+    """Every nineteenth line has one cell more."""
+    event = F.floor(F.col("line") / 2)
+    return block_lines(t).withColumn("value", F.when(~F.col("value").startswith("timestamp") & (event % 19 == 0), F.concat("value", F.lit(",7"))).otherwise(F.col("value")))
+
+
+@query("a48_ragged_lines", "house:i n_lines:i n_ragged:i", sql="""
+SELECT user_id % 5 AS house, count(*) AS n_lines, count(*) FILTER (event_id % 19 = 0 AND (event_id // 50 % 2 = 1 OR event_id % 17 <> 0)) AS n_ragged FROM events GROUP BY 1""")
+def a48_ragged(t):
+    return TX.ragged_lines(wider_lines(t), ["house"], "line", lines_per_chunk=2048)
+
+
+@query("a48_column_nulls", "house:i col:s n:i nulls:i junk:i", sql="""
+WITH e AS (SELECT user_id % 5 AS house, event_id, event_id // 50 % 2 = 0 AS two, event_id % 17 <> 0 AS full_, event_id % 19 = 0 AS more FROM events)
+SELECT house, 'aa' AS col, count(*) AS n, count(*) FILTER (event_id % 13 = 0) AS nulls, 0 AS junk FROM e GROUP BY 1
+UNION ALL SELECT house, 'bb', count(*), 0, 0 FROM e WHERE two AND (full_ OR more) GROUP BY 1
+UNION ALL SELECT house, '<ragged>', count(*), 0, 0 FROM e WHERE more AND (NOT two OR full_) GROUP BY 1""")
+def a48_columns(t):
+    return TX.block_columns(wider_lines(t), ["house"], "line", lines_per_chunk=2048)
+
+
 @query("s11_parquet_sink", "house:i rows:i ts_min_us:i ts_max_us:i w_nulls:i", views="mains", sql="SELECT house, count(*) AS rows, min(ts_us) AS ts_min_us, max(ts_us) AS ts_max_us, 0 AS w_nulls FROM mains GROUP BY house")
 def s11(t):
     path = scratch_path(t.spark, "series")
@@ -140,7 +161,9 @@ def s13(t):
 
 @query("s14_layer_profile", "rows:i first_key:i last_key:i null_dates:i", sql="SELECT count(*) AS rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, count(*) FILTER (o_orderdate IS NULL) AS null_dates FROM orders")
 def s14(t):
-    return t.orders.agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.count_if(F.col("o_orderdate").isNull()).alias("null_dates"))
+    """From the files' footers: the scan reads no column."""
+    p = ST.footer_profile(t.spark, f"{t.folder}/orders.parquet", ["o_orderkey"], ["o_orderdate"])
+    return p.select("rows", F.col("min_o_orderkey").alias("first_key"), F.col("max_o_orderkey").alias("last_key"), F.col("nulls_o_orderdate").alias("null_dates"))
 
 
 def export(t):

@@ -356,6 +356,25 @@ def a31(t):
     return s.join(grp, "meter", "left").fillna(0, ["n_groups"])
 
 
+@query("a31_register_integral", "meter:i span:i naive_ratio:d integral:d gap_share:d", ctes=REG + ", rd AS (SELECT user_id AS meter, epoch_us(ts) AS ts_us, event_id AS seq, value AS w FROM events)", sql="""
+WITH a AS (SELECT *, k - lag(k) OVER (PARTITION BY meter ORDER BY ts_us, seq) AS d, row_number() OVER (PARTITION BY meter ORDER BY ts_us, seq) AS i FROM reg),
+s AS (SELECT meter, max_by(k, i) - min_by(k, i) AS span, sum(CASE WHEN d > 0 THEN d ELSE 0 END) AS naive FROM a GROUP BY meter),
+e AS (SELECT meter, sum(w * least(coalesce(nx - ts_us, 0), 3600000000)) / 3.6e9 AS wh FROM (SELECT *, lead(ts_us) OVER (PARTITION BY meter ORDER BY ts_us, seq) AS nx FROM rd) GROUP BY meter)
+SELECT s.meter, span, naive / nullif(span, 0) AS naive_ratio, coalesce(wh, 0) AS integral, abs(span - coalesce(wh, 0)) / nullif(abs(span), 0) AS gap_share FROM s JOIN e ON s.meter = e.meter""")
+def a31_integral(t):
+    """What the register says (its span, and the sum of its rises) beside the integral of the power."""
+    return ST.register_integral(register(t), t.readings, ["meter"], max_hold_s=3600, chunk_us=CH)
+
+
+@query("a31_wrap_sizes", "meter:i unit:i n_drops:i n_wraps:i largest:i", ctes=REG, sql="""
+WITH d AS (SELECT meter, -(k - lag(k) OVER (PARTITION BY meter ORDER BY ts_us, seq)) AS drop FROM reg),
+b AS (SELECT meter, drop FROM d WHERE drop >= 20), u AS (SELECT meter, min(drop) AS unit FROM b GROUP BY meter)
+SELECT b.meter, unit, count(*) AS n_drops, count(*) FILTER (drop % unit = 0) AS n_wraps, max(drop) AS largest FROM b JOIN u ON b.meter = u.meter GROUP BY b.meter, unit""")
+def a31_wraps(t):
+    """Large drops, and how many are multiples of the smallest: the mark of a counter that wraps."""
+    return ST.wrap_sizes(register(t), ["meter"], least=20, chunk_us=CH)
+
+
 @query("a32_electrical_identities", "va_err:d wh_err:d pf_mean:d", sql="""
 WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, l_extendedprice / l_quantity AS i, l_extendedprice AS va, l_extendedprice * (1 - l_discount) AS w FROM lineitem)
 SELECT max(abs(va - v * i)) AS va_err, max(abs(w - va * (w / va))) AS wh_err, avg(w / va) AS pf_mean FROM x""")

@@ -56,7 +56,7 @@ def truth_rows(t, ids):
 def m23(t):
     ids = [e[0] for e in SW.EXPERIMENTS]
     sig = cut_lineage(sigs(t))
-    det = SW.detect_configs(t.mains, sig, cut_lineage(mains_floor(t)), SW.EXPERIMENTS, ["house"], dt_s=3600.0, chunk_us=CH, rows_per_chunk=4096)
+    det = SW.detect_configs(t.mains, sig, cut_lineage(mains_floor(t, SPLIT)), SW.EXPERIMENTS, ["house"], dt_s=3600.0, chunk_us=CH, rows_per_chunk=4096)
     det = SW.with_ids(cut_lineage(det), ["exp", *KEYS], "i_on", "n_samples")
     return SW.leaderboard(truth_rows(t, ids), det, KEYS, tol_rows=4)
 

@@ -22,6 +22,35 @@ def write_series(df: DataFrame, path: str, keys: Sequence[str] = ("dataset", "bu
     (out.write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path))
 
 
+#: Settings under which the parquet reader answers whole-table aggregates from the files' footers.
+FOOTERS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footer_plan(spark: SparkSession, path: str, ranges: Sequence[str], counted: Sequence[str] = ()) -> DataFrame:
+    """One row: rows, min_ and max_ of `ranges`, nulls_ of both; to be run under FOOTERS."""
+    both = list(dict.fromkeys([*ranges, *counted]))
+    got = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), *[F.min(c).alias(f"min_{c}") for c in ranges], *[F.max(c).alias(f"max_{c}") for c in ranges],
+                                       *[F.count(c).alias(f"_n_{c}") for c in both])
+    return got.select("rows", *[f"{k}_{c}" for c in ranges for k in ("min", "max")], *[(F.col("rows") - F.col(f"_n_{c}")).alias(f"nulls_{c}") for c in both])
+
+
+def footer_profile(spark: SparkSession, path: str, ranges: Sequence[str], counted: Sequence[str] = ()) -> DataFrame:
+    """A table's row count, value ranges and null counts from parquet footers, without reading a column.
+
+    Ranges are for numbers and dates, whose minima and maxima footers hold. Tasks read the footers; one row is kept.
+    """
+    old = {k: spark.conf.get(k, None) for k in FOOTERS}
+    try:
+        for k, v in FOOTERS.items():
+            spark.conf.set(k, v)
+        plan = footer_plan(spark, path, ranges, counted)
+        rows = plan.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.createDataFrame(rows, plan.schema)
+
+
 def series_profile(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] = ("w",)) -> DataFrame:
     """Rows, stamp range and null counts; without keys and filters the scan answers from file metadata
     where the source supports aggregate pushdown."""

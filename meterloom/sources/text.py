@@ -186,6 +186,32 @@ def block_audit(lines: DataFrame, keys: Sequence[str], value: str = "value") ->
                                     F.sum(F.when(~head, F.size(F.filter(cells, lambda c: c == "NULL"))).otherwise(0)).alias("n_null_cells"))
 
 
+def _under_header(lines: DataFrame, keys: Sequence[str], order: str, value: str, lines_per_chunk: int) -> DataFrame:
+    """Data lines with their cells and the columns of the header above; lines before any header are left out."""
+    head = F.when(F.col(value).startswith("timestamp"), F.col(value))
+    d = ordered_scan(lines.withColumn("_head", head), keys, [order], bucket_of(order, lines_per_chunk), ffill={"_above": "_head"})
+    d = d.where(F.col("_head").isNull() & F.col("_above").isNotNull())
+    named = F.split("_above", ",")
+    return d.select(*keys, F.split(value, ",").alias("_cells"), F.slice(named, 2, F.greatest(F.size(named) - 1, F.lit(0))).alias("_cols"))
+
+
+def ragged_lines(lines: DataFrame, keys: Sequence[str], order: str, value: str = "value", *, lines_per_chunk: int = 1 << 20) -> DataFrame:
+    """keys, n_lines and n_ragged: data lines with more cells than their header declares."""
+    d = _under_header(lines, keys, order, value, lines_per_chunk)
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.size("_cells") - 1 > F.size("_cols")).alias("n_ragged"))
+
+
+def block_columns(lines: DataFrame, keys: Sequence[str], order: str, value: str = "value", *, lines_per_chunk: int = 1 << 20) -> DataFrame:
+    """keys, col, n, nulls (empty or NULL cells) and junk (cells without a number) of every declared column; cells
+    beyond the declared ones count for `<ragged>`."""
+    d = _under_header(lines, keys, order, value, lines_per_chunk)
+    cells = d.select(*keys, "_cols", F.posexplode(F.slice("_cells", 2, F.greatest(F.size("_cells") - 1, F.lit(0)))).alias("_i", "_c"))
+    cell = F.trim("_c")
+    null = (cell == "") | (cell == "NULL")
+    col = F.coalesce(F.get("_cols", F.col("_i")), F.lit("<ragged>"))
+    return cells.groupBy(*keys, col.alias("col")).agg(F.count(F.lit(1)).alias("n"), F.count_if(null).alias("nulls"), F.count_if(~null & number(cell).isNull()).alias("junk"))
+
+
 def widen(long: DataFrame, keys: Sequence[str], meters: Sequence[str], value: str = "w") -> DataFrame:
     """Union-of-columns view: one column per meter, absent ones null."""
     return long.groupBy(*keys, "ts_us").pivot("meter", list(meters)).agg(F.first(value, True))

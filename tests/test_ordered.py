@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 from helpers import S, by_key, episodes, frame, runs, series
 from meterloom.operators import episodes as X
 from meterloom.operators.energy import pair_energy, window_energy
-from meterloom.operators.joins import asof_join, next_after, overlap_join, points_in
+from meterloom.operators import drift as D
+from meterloom.operators.joins import asof_join, next_after, overlap_count, overlap_join, points_in
 from meterloom.operators.ordered import (bucket_of, islands, join_dim, merge_intervals, ordered_scan, row_halo,
                                          suggest_chunk_us, time_halo)
 from meterloom.operators.quantiles import exact_quantiles
@@ -235,3 +236,60 @@ def test_null_keys_keep_their_rows(spark):
     assert got == sorted(want, key=str)
     q = {r.k: r.m for r in exact_quantiles(d, ["k"], {"m": ("w", 0.5)}).collect()}
     assert q == {None: 6.0, 1: 2.0, 2: 4.0}
+
+
+@pytest.mark.parametrize("width", WIDTHS)
+@pytest.mark.parametrize("alpha", [0.02, 0.3, 0.999])
+def test_ewma_equals_the_loop(spark, width, alpha):
+    rows = series(21, keys=3, n=200, dup=0.2, none=0.1)
+    want = []
+    for k, rs in by_key(rows).items():
+        e = None
+        for _, t, i, w in rs:
+            if w is not None:
+                e = w if e is None else alpha * w + (1 - alpha) * e
+                want.append((k, t, i, e))
+    got = sorted((r.k, r.ts_us, r.seq, r.e) for r in D.ewma(frame(spark, rows), ["k"], ["ts_us", "seq"], "w", alpha, chunk=bucket_of("ts_us", width), out="e").collect())
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)]
+    assert np.allclose([r[3] for r in got], [r[3] for r in sorted(want)], rtol=1e-12)
+
+
+@pytest.mark.parametrize("width", WIDTHS)
+def test_cusum_equals_the_loop(spark, width):
+    rows = [(k, t, i, None if w is None else w - 30) for k, t, i, w in series(22, keys=3, dup=0.2, none=0.1)]
+    want = []
+    for k, rs in by_key(rows).items():
+        u = d = 0.0
+        for _, t, i, w in rs:
+            if w is not None:
+                u, d = max(0.0, u + w - 4), max(0.0, d - w - 4)
+            want.append((k, t, i, u, d))
+    got = sorted((r.k, r.ts_us, r.seq, r.cusum_up, r.cusum_down) for r in D.cusum(frame(spark, rows), ["k"], ["ts_us", "seq"], "w", chunk=bucket_of("ts_us", width), slack=4.0).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)]
+    assert np.allclose([r[3:] for r in got], [r[3:] for r in sorted(want)], atol=1e-9)
+
+
+def spans_of(seed, n=60, most=8):
+    r = np.random.default_rng(seed)
+    a = r.integers(0, 60, n)
+    return [(int(k), int(d), int(s) * S, int(s + x) * S, i) for i, (k, d, s, x) in enumerate(zip(r.integers(0, 3, n), r.integers(0, 3, n), a, r.integers(0, most, n)))]
+
+
+@pytest.mark.parametrize("touch", [False, True])
+@pytest.mark.parametrize("width", WIDTHS)
+def test_overlap_count_equals_all_pairs(spark, width, touch):
+    left, right = spans_of(5), spans_of(6) + [(7, 0, 0, 9 * S, 99)]
+    over = (lambda a, b: a[2] <= b[3] and b[2] <= a[3]) if touch else (lambda a, b: a[2] < b[3] and b[2] < a[3])
+    lf, rf = (spark.createDataFrame(x, "k bigint, dev bigint, a bigint, z bigint, id bigint").repartition(3) for x in (left, right))
+    for other in (None, "dev"):
+        got = overlap_count(lf, rf, ["k"], left_span=("a", "z"), right_span=("a", "z"), left_id=["id", "dev"], out="n", other=other, touch=touch, chunk_us=width)
+        want = [(x[4], sum(1 for y in right if y[0] == x[0] and over(x, y) and (other is None or y[1] != x[1]))) for x in left]
+        assert rows_of(got, "id", "n") == sorted(want)
+    assert overlap_count(lf, rf.limit(0), ["k"], left_span=("a", "z"), right_span=("a", "z"), left_id=["id"], out="n").agg(F.sum("n")).first()[0] == 0
+
+
+def test_overlap_count_on_one_crowded_key_stays_linear(spark):
+    n = 20_000  # 400 million pairs
+    d = spark.range(n).select(F.lit(1).alias("k"), F.col("id"), F.col("id").alias("a"), (F.col("id") + n).alias("z"))
+    got = overlap_count(d, d, ["k"], left_span=("a", "z"), right_span=("a", "z"), left_id=["id"], out="n", chunk_us=1000)
+    assert got.agg(F.min("n"), F.max("n")).first() == (n, n)

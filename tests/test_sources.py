@@ -212,3 +212,29 @@ def test_stream_timer_and_gate(spark):
     dup = [[(0, 100, 5), (0, 100, 5), (0, 101, 99999), (0, 102, -3), (0, 103, 7)]]
     g = ON.run_to_table(ON.ingest_gate(stream_of(spark, dup), ["k"]), "d").collect()
     assert sorted(r.w for r in g) == [5.0, 7.0]
+
+
+def test_footers_answer_without_reading_columns(spark, tmp_path):
+    from meterloom.sources import store as STO
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(1000).select("id", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") * 2).alias("v"), F.lit("x").alias("s")).repartition(3).write.parquet(path)
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    row = STO.footer_profile(spark, path, ["id", "v"], ["s"]).first().asDict()
+    assert row == {"rows": 1000, "min_id": 0, "max_id": 999, "min_v": 2, "max_v": 1998, "nulls_id": 0, "nulls_v": 143, "nulls_s": 0}
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    spark.conf.set("spark.sql.sources.useV1SourceList", STO.FOOTERS["spark.sql.sources.useV1SourceList"])
+    try:
+        plan = STO.footer_plan(spark, path, ["id", "v"], ["s"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.sources.useV1SourceList", before)
+    assert "PushedAggregation: [COUNT(*), MIN(id)" in plan
+
+
+def test_block_columns_and_ragged_lines(spark):
+    lines = ["1,2", "timestamp,a,b", "1,2,3", "2,,x", "3,NULL,4,9", "timestamp,c", "4,5,6", "", "5"]
+    df = spark.createDataFrame([(0, i, v) for i, v in enumerate(lines)], "k int, line bigint, value string").repartition(3)
+    for width in (1, 3, 1000):
+        assert [tuple(r) for r in TX.ragged_lines(df, ["k"], "line", lines_per_chunk=width).collect()] == [(0, 6, 2)]
+        got = {r["col"]: (r.n, r.nulls, r.junk) for r in TX.block_columns(df, ["k"], "line", lines_per_chunk=width).collect()}
+        assert got == {"a": (3, 2, 0), "b": (3, 0, 1), "c": (1, 0, 0), "<ragged>": (2, 0, 0)}
