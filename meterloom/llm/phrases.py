@@ -4,13 +4,14 @@ Texts are lower-cased (A-Z), cut into pieces at `.,;:!?` and line ends, and the
 blanks and tabs. A phrase is a run of 2 to `words` words of one piece; everything is counted for each
 language on its own.
 
-Three passes over the texts, all counts summed up in the task before they move:
+Three passes over the texts:
 
-1. words: exact counts. Their frequent ones are also kept as bits of a table of fixed size.
-2. pairs of frequent words: counts of 64-bit hashes, again kept as bits. Different pairs may share a
-   bit, which only lets more through.
-3. suffixes: every position whose first pair may be frequent starts a suffix of up to `words` words,
-   ended before the first pair that cannot be frequent. Equal ones of a batch become one row with a weight.
+1. words: counts, summed up in the task before they move. The frequent ones are also kept as bits of a
+   table of fixed size.
+2. pairs of frequent words: counts of 64-bit hashes, summed up in the same way, and kept as bits. Different
+   words or pairs may share a bit, which only lets more suffixes through.
+3. suffixes: every position whose pair may be frequent starts a suffix of up to `words` words, ended before
+   the first pair that cannot be frequent. Suffixes of just two words are summed up in the task.
 
 Suffixes are routed by their leading words: a range partitioning by (language, words), which also cuts
 within equal rows, so that no leading word or suffix fills a task. Each task sorts pointers to its
@@ -18,7 +19,7 @@ suffixes by three-way quicksort, word by word: the size of an equal-partition is
 phrase, and partitions of fewer than `least` are abandoned. A task's first and last suffix may go on in
 its neighbours; the partial counts of their phrases are always sent, and summed up by phrase.
 
-Memory of a task: a batch of texts in the passes; the number of ranges follows the number of suffixes, so
+Memory of a task: a slice of texts and up to HELD words in the passes; the number of ranges follows the number of suffixes, so
 that one holds about `RANGE` rows. The bit tables (6 MB) are all that is broadcast by name. Where counts of
 parts are looked up, phrases are spread over `SALTS` copies of the counts, since many share a frequent word.
 
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,7 @@ from .rows import slices
 
 LEAST, WORDS, TOP, SHARE = 100, 5, 2000, 100
 SLICE = 8 << 20  # bytes of text coded at a time
+HELD = 1_000_000  # words of a task's numbering, before it begins anew
 RANGE, SALTS = 1_500_000, 8
 WORD_BITS, PAIR_BITS = 24, 25
 _BREAK = b"."
@@ -52,28 +55,43 @@ _UP, _DOWN = bytes.maketrans(bytes(range(9)), bytes(range(1, 10))), bytes.maketr
 
 
 class _Codes(dict):
-    """Numbers of words in the order in which they are met; the break is 0."""
+    """Numbers of a language's words in the order in which a task meets them; the break is 0."""
 
-    def __init__(self):
+    def __init__(self, lang: str):
+        self.lang, self.words, self.hashes = lang, [_BREAK], np.empty(0, np.uint64)
         self[_BREAK] = 0
 
     def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self)
+        code = self[word] = len(self.words)
+        self.words.append(word)
         return code
 
+    def hashed(self) -> np.ndarray:
+        """64-bit hashes of all words by number."""
+        self.hashes = np.concatenate((self.hashes, word_hashes(self.lang, self.words[len(self.hashes):])))
+        return self.hashes
 
-def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """(language, distinct words, numbers of the words in text order with 0 between pieces) of each language of each slice of (lang, text)."""
+    def keys(self, codes: np.ndarray) -> pa.Array:
+        """The words of each row of codes (0: none) as one key."""
+        named = pa.array([None, *[w.translate(_UP) for w in self.words[1:]]], pa.binary())
+        columns = [named.take(pa.array(codes[:, j])) for j in range(codes.shape[1])]
+        return pc.binary_join_element_wise(*columns, pa.scalar(b"\0", pa.binary()), null_handling="skip")
+
+
+def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Codes, np.ndarray]]:
+    """(words, numbers of the words in text order with 0 between pieces) of each language of each slice of (lang, text)."""
+    known: dict[str, _Codes] = {}
     for batch in slices(batches, "text", SLICE):
         texts: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
             if text:
                 texts.setdefault(lang, []).append(text)
         for lang, own in texts.items():
+            codes = known.setdefault(lang, _Codes(lang))
             tokens = _BREAK.join(own).translate(_SIGNS).replace(_BREAK, b" . ").split()
-            codes = _Codes()
-            numbers = np.fromiter(map(codes.__getitem__, tokens), np.int32, len(tokens))
-            yield lang, list(codes), numbers
+            yield codes, np.fromiter(map(codes.__getitem__, tokens), np.int32, len(tokens))
+        if sum(map(len, known.values())) > HELD:
+            known = {}
 
 
 def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -105,75 +123,73 @@ def is_set(table: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, words, numbers in coded(batches):
-        n = np.bincount(numbers, minlength=len(words))
-        words[0], n[0] = None, int(n[1:].sum())  # the row of a language as a whole
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+    for codes, numbers in coded(batches):
+        n = np.bincount(numbers)
+        some = np.flatnonzero(n[1:]) + 1
+        words, counts = [None, *[codes.words[i] for i in some]], [int(n[1:].sum()), *n[some]]  # first: the language as a whole
+        yield pa.RecordBatch.from_arrays([pa.array([codes.lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
 
 
 def _count_pairs(sent):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = sent.value, [], 0
+        held, size = [np.empty(0, np.uint64)], 0
 
         def out():
             h, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
-        for lang, words, numbers in coded(batches):
-            h = word_hashes(lang, words)
-            often = is_set(table, WORD_BITS, h)
+        for codes, numbers in coded(batches):
+            h = codes.hashed()
+            often = is_set(sent.value, WORD_BITS, h)
             often[0] = False
             both = np.flatnonzero(often[numbers[:-1]] & often[numbers[1:]])
             held.append(pair_hashes(h[numbers[both]], h[numbers[both + 1]]))
             size += len(both)
             if size > 4_000_000:
                 yield out()
-                held, size = [], 0
-        if size:
-            yield out()
+                held, size = held[:1], 0
+        yield out()
 
     return task
 
 
-def distinct_rows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of one row of each kind and their numbers."""
-    if not len(codes):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    if codes.max() < 1 << 21:  # three numbers fit into one 64-bit integer
-        packed = [sum(codes[:, j].astype(np.int64) << 21 * (2 - j % 3) for j in range(a, min(a + 3, codes.shape[1]))) for a in range(0, codes.shape[1], 3)]
-    else:
-        packed = [codes[:, j] for j in range(codes.shape[1])]
-    order = np.lexsort(packed[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in packed], axis=0)
-    start = np.flatnonzero(new)
-    return order[start], np.diff(np.append(start, len(order)))
-
-
 def _suffixes(sent, width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_table, pair_table = sent.value
-        salt = 0
-        for lang, words, numbers in coded(batches):
-            h = word_hashes(lang, words)
+        salt, short = 0, {}
+
+        def rows(codes: _Codes, listed: np.ndarray, n) -> pa.RecordBatch:
+            nonlocal salt
+            salts = (salt + np.arange(len(listed), dtype=np.int64)) * 40503 & 0xFFFF
+            salt += len(listed)
+            return pa.RecordBatch.from_arrays([pa.array([codes.lang] * len(listed), pa.string()), codes.keys(listed), pa.array(n, pa.int64()), pa.array(salts, pa.int32())], ["lang", "key", "n", "salt"])
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            for codes, parts in short.values():
+                packed, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield rows(codes, np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1), n)
+            short.clear()
+
+        for codes, numbers in coded(batches):
+            h = codes.hashed()
             often = is_set(word_table, WORD_BITS, h)
             often[0] = False
             goes_on = np.zeros(len(numbers) + width, bool)
             both = np.flatnonzero(often[numbers[:-1]] & often[numbers[1:]])
             goes_on[both] = is_set(pair_table, PAIR_BITS, pair_hashes(h[numbers[both]], h[numbers[both + 1]]))
-            at = np.flatnonzero(goes_on)
-            codes = np.zeros((len(at), width), np.int32)
-            codes[:, 0] = numbers[at]
+            at = np.flatnonzero(goes_on[:-1] & ~goes_on[1:])
+            short.setdefault(id(codes), (codes, []))[1].append(numbers[at].astype(np.int64) << 32 | numbers[at + 1])
+            at = np.flatnonzero(goes_on[:-1] & goes_on[1:])
+            listed = np.zeros((len(at), width), np.int32)
+            listed[:, 0] = numbers[at]
             still = np.ones(len(at), bool)
             for j in range(1, width):
                 still &= goes_on[at + j - 1]
-                codes[still, j] = numbers[at[still] + j]
-            rows, weights = distinct_rows(codes)
-            named = [w.translate(_UP) for w in words]
-            keys = [b"\0".join([named[c] for c in row if c]) for row in codes[rows].tolist()]
-            salts = (salt + np.arange(len(keys), dtype=np.int64)) * 40503 & 0xFFFF
-            salt += len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(weights, pa.int64()), pa.array(salts, pa.int32())], ["lang", "key", "n", "salt"])
+                listed[still, j] = numbers[at[still] + j]
+            yield rows(codes, listed, np.ones(len(at), np.int64))
+            if sum(len(p) for _, parts in short.values() for p in parts) > 4_000_000:
+                yield from pairs()
+        yield from pairs()
 
     return task
 
@@ -181,7 +197,7 @@ def _suffixes(sent, width: int):
 def equal_partitions(codes: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """(words, place of a suffix, weight) of every prefix of `least` or more, and of every prefix of the first and last suffix.
 
-    `codes` has a suffix in each row, numbers in the words' order, 0 behind its end.
+    `codes` has a suffix in each row, numbers in the words' order, 0 behind its end; `weights` says how often it occurs.
     """
     if not len(codes):
         return
@@ -251,8 +267,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     singles = cut_lineage(counts.filter((F.col("n") >= least) | F.col("word").isNull()))
     word_table = bit_table(singles.filter("word IS NOT NULL").select(F.xxhash64("lang", "word").alias("h")), WORD_BITS)
     sent = spark.sparkContext.broadcast(word_table)
-    pairs = rows.mapInArrow(_count_pairs(sent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    pairs = cut_lineage(pairs)
+    pairs = cut_lineage(rows.mapInArrow(_count_pairs(sent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
     expected = pairs.agg(F.sum("n")).first()[0] or 0
     sent = spark.sparkContext.broadcast((word_table, bit_table(pairs, PAIR_BITS)))
     suffixes = rows.mapInArrow(_suffixes(sent, words), "lang string, key binary, n long, salt int")
