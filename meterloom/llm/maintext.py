@@ -38,7 +38,8 @@ CONTENT_WORDS = frozenset("article body content entry main post story text".spli
 #: The smoothness of neighbours, of neighbours in one container, and of the next block of a container.
 ADJACENT, SAME_PARENT, PROXIMITY = 20, 30, 15
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*>", re.S)
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]", re.S)
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CLASS_WORD = re.compile(r"[a-z]+")
 
@@ -149,27 +150,52 @@ class _Page:
                 return
 
 
+def _tag_end(html: str, at: int, last: int) -> int:
+    """Place of the bracket that closes a tag: the first one outside quotes. A quote counts only if its partner lies
+    before the page's last bracket, so that broken quotes never hide the end; there is one, since `at` <= `last`."""
+    while html[at := _STOP.search(html, at).start()] != ">":
+        partner = html.find(html[at], at + 1, last)
+        at = (partner if partner >= 0 else at) + 1
+    return at
+
+
+def next_token(html: str, at: int, last: int) -> tuple[int, int, str, str, bool] | None:
+    """(start, end, tag, attributes, closing) of the next tag, comment or declaration; the tag of the latter two is empty.
+    `last` is the page's last bracket. No character is read twice, whatever is broken."""
+    while m := _OPEN.search(html, at):
+        start, at = m.start(), m.end()
+        if m[2] is None and m[0].startswith("<!--"):
+            return start, at, "", "", False
+        if start < last:
+            end = _tag_end(html, at, last) if m[2] else html.find(">", at)
+            return start, end + 1, (m[2] or "").lower(), html[at:end] if m[2] else "", bool(m[1])
+        if (at := html.find("<!--", start + 1)) < 0:  # nothing closes it, so it is text, as are all behind it but comments
+            return None
+    return None
+
+
 def blocks_of(html: str) -> list[Block]:
     """Text blocks of a page in order; scripts, styles, comments and hidden parts are gone."""
-    page, at = _Page(), 0
-    for m in iter(lambda: _TOKEN.search(html, at), None):
-        page.text(html[at:m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
+    page, at, last = _Page(), 0, html.rfind(">")
+    while token := next_token(html, at, last):
+        start, end, tag, attributes, closing = token
+        page.text(html[at:start])
+        at = end
         if not tag:
             continue
         if tag == "a":
-            page.in_link = not m[1]
+            page.in_link = not closing
         if tag == "br":
             page.text(" ")
-        elif m[1]:
+        elif closing:
             page.close(tag)
         elif tag in RAW_TAGS:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
             at = end.start() if end else len(html)
-            page.open(tag, m[3])
+            page.open(tag, attributes)
             page.frames[-1].dropped = True
-        elif not m[3].rstrip().endswith("/") or tag in BLOCK_TAGS:
-            page.open(tag, m[3])
+        elif not attributes.rstrip().endswith("/") or tag in BLOCK_TAGS:
+            page.open(tag, attributes)
     page.text(html[at:])
     page.end_block()
     return page.blocks
