@@ -107,8 +107,9 @@ def retried(a: Column, b: Column) -> Column:
 
     def one(x: Column, y: Column) -> Column:
         tries = [_attempt(x, y, q, turn) for turn, q in enumerate(SIZES, 1)]
-        all_of = F.concat(F.transform(x, lambda d: F.struct(d.alias("k"), F.lit(1).alias("s"))), F.transform(y, lambda d: F.struct(d.alias("k"), F.lit(-1).alias("s"))))
-        return F.coalesce(*tries, all_of)
+        signed = lambda d, s: F.transform(d, lambda k: F.struct(k.alias("k"), F.lit(s).alias("s")))
+        exact = F.concat(signed(F.array_except(x, y), 1), signed(F.array_except(y, x), -1))  # should even the largest table stall
+        return F.coalesce(*tries, exact)
 
     count = F.size(a) + F.size(b)
     shards = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(count, F.lit(1)) / F.lit(float(SHARD)))))).cast("long")
