@@ -13,6 +13,7 @@ from .joins import points_in
 from .ordered import DAY_US, bucket_of, join_dim, ordered_scan
 from .profiles import DWELL_CLAMP_S, MU_MIN_W, SIGMA_FLOOR_W, onset_interference
 from .quantiles import exact_quantiles
+from .sampling import draw
 from .stats import on_level
 
 CAL_DAYS = 7.0
@@ -113,7 +114,7 @@ def draw_sessions(pool: DataFrame, by: Sequence[str], flagged: str, ks: Sequence
     tries = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in plan]))
     slots = (size.select(*by, "_size", tries.alias("p")).select(*by, "_size", "p.*")
              .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("m") - 1))))
-    slots = slots.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "k", "draw", "slot", *by), F.col("_size")) + 1)
+    slots = slots.withColumn("_i", draw(F.col("_size"), seed, "k", "draw", "slot", *by) + 1)
     d = slots.join(n.drop("_size"), [*by, "_i"])
     # at most max(4k, 8) + k rows per (k, draw)
     w = W.partitionBy(*by, "k", "draw").orderBy("slot")

@@ -21,9 +21,15 @@ def first_n(df: DataFrame, by: Sequence[str], ts: str, n: int, *, chunk_us: int
     return ordered_scan(df, by, [ts], bucket_of(ts, chunk_us), row_number="rank").where(F.col("rank") <= n)
 
 
+def draw(size: Column, *parts) -> Column:
+    """A whole number from 0 to size - 1, drawn by the MD5 of the parts as text, so that any engine draws the same."""
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.col(p) if isinstance(p, str) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint") % size
+
+
 def subsample(df: DataFrame, label: str, ident: str, n: int, seed: int) -> DataFrame:
     """n rows of each label in hash order, the same on every partitioning."""
-    return top_n(df, [label], n, F.xxhash64(F.lit(seed), F.col(ident)), F.col(ident))
+    return top_n(df, [label], n, F.md5(F.concat_ws(":", F.lit(seed), F.col(ident)).cast("binary")), F.col(ident))
 
 
 def bootstrap_medians(df: DataFrame, by: Sequence[str], ident: str, values: Sequence[str], sizes: Sequence[int], draws: int, seed: int) -> DataFrame:
@@ -33,7 +39,7 @@ def bootstrap_medians(df: DataFrame, by: Sequence[str], ident: str, values: Sequ
     size = d.groupBy(*by).agg(F.max("_N").alias("_N"))
     s = (size.withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
          .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n") - 1))))
-    s = s.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "n", "draw", "slot", *by), F.col("_N")) + 1)
+    s = s.withColumn("_i", draw(F.col("_N"), seed, "n", "draw", "slot", *by) + 1)
     m = s.join(d.select(*by, "_i", *values), [*by, "_i"])
     med = m.groupBy(*by, "n", "draw").agg(*[F.percentile(v, 0.5).alias(v) for v in values])  # n values a draw
     spec = {f"{v}_p{p}": (v, p / 100) for v in values for p in (5, 50, 95)}

@@ -248,15 +248,22 @@ def o04(t):
     return X.numbered(t.mains, ["house"]).where("i % 5 = 0")
 
 
-@query("o05_bootstrap_bands", "device:s n:i dur_s_p5:d dur_s_p50:d dur_s_p95:d energy_wh_p50:d")
+@query("o05_bootstrap_bands", "device:s n:i dur_s_p5:d dur_s_p50:d dur_s_p95:d energy_wh_p50:d", views="channels", ctes=CHANNEL_EP, sql="""
+WITH d AS (SELECT device, dur_s, energy_wh, row_number() OVER (PARTITION BY device ORDER BY t_on_us) AS i, count(*) OVER (PARTITION BY device) AS size FROM ep),
+b AS (SELECT DISTINCT device, size FROM d), n AS (SELECT unnest([2, 5, 10, 20]) AS n), r AS (SELECT unnest(range(100)) AS draw),
+s AS (SELECT device, size, n, draw, unnest(range(n)) AS slot FROM b, n, r),
+m AS (SELECT s.device, n, draw, dur_s, energy_wh FROM s JOIN d ON d.device = s.device AND d.i = ('0x' || left(md5('42:' || n || ':' || draw || ':' || slot || ':' || s.device), 12))::BIGINT % s.size + 1),
+q AS (SELECT device, n, draw, quantile_cont(dur_s, 0.5) AS a, quantile_cont(energy_wh, 0.5) AS e FROM m GROUP BY 1, 2, 3)
+SELECT device, n, quantile_cont(a, 0.05) AS dur_s_p5, quantile_cont(a, 0.5) AS dur_s_p50, quantile_cont(a, 0.95) AS dur_s_p95, quantile_cont(e, 0.5) AS energy_wh_p50 FROM q GROUP BY 1, 2""")
 def o05(t):
     ep = channel_episodes(t)
     return SA.bootstrap_medians(ep, ["device"], "t_on_us", ["dur_s", "energy_wh"], (2, 5, 10, 20), 100, 42)
 
 
-@query("o07_label_subsample", "label:i n:i")
+@query("o07_label_subsample", "label:i n:i sum_id:i", sql="""
+SELECT label, count(*) AS n, sum(vec_id) AS sum_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || vec_id), vec_id) AS k FROM embeddings) WHERE k <= 20 GROUP BY label""")
 def o07(t):
-    return SA.subsample(t.embeddings.select("label", "vec_id"), "label", "vec_id", 20, 7).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return SA.subsample(t.embeddings.select("label", "vec_id"), "label", "vec_id", 20, 7).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("sum_id"))
 
 
 @query("o08_splits", "house:i split_us:i n_cal:i n_test:i", views="mains", sql="""

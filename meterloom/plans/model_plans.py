@@ -264,7 +264,16 @@ def m21(t):
     return g.select("device", *C.separability(F.col("mu"), F.col("fl"), F.col("sd")))
 
 
-@query("o06_session_draws", "house:i device:s k:i draw:i n_kept:i n_flagged:i max_slot:i")
+@query("o06_session_draws", "house:i device:s k:i draw:i n_kept:i n_flagged:i max_slot:i", views="channels", ctes=CHANNEL_EP, sql="""
+WITH p AS (SELECT a.house, a.device, a.t_on_us, sum(least(a.t_off_us, b.t_off_us) - greatest(a.t_on_us, b.t_on_us)) AS ov
+ FROM ep a JOIN ep b ON a.house = b.house AND a.device <> b.device AND a.t_on_us < b.t_off_us AND b.t_on_us < a.t_off_us GROUP BY 1, 2, 3),
+c AS (SELECT ep.house, ep.device, ep.t_on_us, coalesce(ov, 0) / greatest(ep.t_off_us - ep.t_on_us, 1) > 2.0 AS flagged,
+ row_number() OVER (PARTITION BY ep.house, ep.device ORDER BY ep.t_on_us) AS i, count(*) OVER (PARTITION BY ep.house, ep.device) AS size FROM ep LEFT JOIN p USING (house, device, t_on_us)),
+b AS (SELECT DISTINCT house, device, size FROM c), k AS (SELECT unnest([1, 3, 5]) AS k), r AS (SELECT unnest(range(3)) AS draw),
+s AS (SELECT house, device, size, k, draw, unnest(range((greatest(4 * k, 8) + k - 1) // k * k)) AS slot FROM b, k, r),
+d AS (SELECT s.house, s.device, k, draw, slot, flagged FROM s JOIN c ON c.house = s.house AND c.device = s.device AND c.i = ('0x' || left(md5('20260922:' || k || ':' || draw || ':' || slot || ':' || s.house || ':' || s.device), 12))::BIGINT % s.size + 1),
+g AS (SELECT *, count(*) FILTER (NOT flagged) OVER (PARTITION BY house, device, k, draw ORDER BY slot) AS good FROM d)
+SELECT house, device, k, draw, count(*) AS n_kept, 0 AS n_flagged, max(slot) AS max_slot FROM g WHERE NOT flagged AND good <= k GROUP BY 1, 2, 3, 4""")
 def o06(t):
     """Draws with replacement until k unflagged sessions, at most max(4k, 8) tries."""
     ep = channel_episodes(t).select(*EP_COLS)
