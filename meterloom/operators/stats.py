@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .energy import hold_energy
 from .episodes import gaps, numbered, sample_episodes, with_previous
-from .ordered import DAY_US, bucket_of, join_dim, ordered_scan
+from .ordered import DAY_US, as_col, bucket_of, join_dim, ordered_scan
 from .quantiles import exact_quantiles, with_quantiles
 
 NOISE_FLOOR_W = 5.0  # fixed value: watts below which a channel is idle
 MIN_ABOVE = 100      # fixed value: samples needed before the half-median rule applies
 
 
+def round_even(c: Column | str, digits: int) -> Column:
+    """Half-even in binary arithmetic, as SQL's round_even on doubles. `bround` rounds the shortest decimal form
+    instead: a half with noise in its last bit, such as the mean of two readings, went to the other side."""
+    return F.rint(as_col(c) * 10.0**digits) / 10.0**digits
+
+
 def cadence(df: DataFrame, keys: Sequence[str], *, chunk_us: int = DAY_US) -> DataFrame:
     """Median and p90 of the positive gaps in seconds, and their number."""
     g = gaps(df, keys, chunk_us=chunk_us).where("dt_s > 0")
@@ -55,16 +61,16 @@ def on_thresholds(df: DataFrame, keys: Sequence[str], *, floor_w: float = NOISE_
     base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(q, list(keys), "left")
     base = base.withColumn("n_above_floor", F.coalesce("n_above_floor", F.lit(0)))
     few = F.col("n_above_floor") < min_samples
-    half = F.bround(F.greatest(F.lit(floor_w), 0.5 * F.col("p50")), 1)
+    half = round_even(F.greatest(F.lit(floor_w), 0.5 * F.col("p50")), 1)
     base = base.select("*", F.when(few, F.lit(floor_w)).otherwise(half).alias("thr_on_w"),
-                       F.coalesce(F.bround("p50", 1), F.lit(0.0)).alias("p50_on_w"),
+                       F.coalesce(round_even("p50", 1), F.lit(0.0)).alias("p50_on_w"),
                        F.when(few, "noise_floor").otherwise("half_p50").alias("method"))
     base = cut_lineage(base)  # one row per channel, read twice below
     on = (join_dim(df, base.select(*keys, "thr_on_w"), keys)
           .groupBy(*keys).agg(F.count_if(F.col("w") > F.col("thr_on_w")).alias("_on")))
     return (base.join(on, list(keys))
             .select(*keys, "thr_on_w", "p50_on_w", "n_above_floor", "method",
-                    F.when(F.col("method") == "half_p50", F.bround(100.0 * F.col("_on") / F.col("_n"), 2)).alias("on_share_pct")))
+                    F.when(F.col("method") == "half_p50", round_even(100.0 * F.col("_on") / F.col("_n"), 2)).alias("on_share_pct")))
 
 
 def floor_thresholds(df: DataFrame, keys: Sequence[str], *, noise_w: float = NOISE_FLOOR_W) -> DataFrame:

@@ -28,7 +28,7 @@ def flagship(t):
     """Half-median threshold, episodes above it and their energy, per channel."""
     k = ["house", "device"]
     q = exact_quantiles(t.channels.where("w > 5"), k, {"p50": ("w", 0.5)})
-    thr = q.select(*k, F.bround(F.greatest(F.lit(5.0), 0.5 * F.col("p50")), 1).alias("thr_on_w"))
+    thr = q.select(*k, ST.round_even(F.greatest(F.lit(5.0), 0.5 * F.col("p50")), 1).alias("thr_on_w"))
     d = join_dim(t.channels, thr, k)
     runs = X.state_runs(d, k, X.on_mark(F.col("w") > F.col("thr_on_w")), hold_s=7200, chunk_us=CH, aggs={"thr_on_w": ("max", F.col("thr_on_w"))}).where("state = 1")
     m = X.merge_intervals(runs, k, "t_on_us", "t_off_us", X.us(21600), chunk_us=8 * CH, aggs={"energy_wh": ("sum", F.col("energy_wh")), "thr_on_w": ("max", F.col("thr_on_w"))})

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,12 @@ def test_statistics(spark):
     assert (few.thr_on_w, few.method, few.on_share_pct) == (5.0, "noise_floor", None)
     n = spark.range(4000).select(F.lit(1000.0).alias("w"), "id").select(SW.noise_variant(F.col("w"), F.col("id")).alias("v")).agg(F.avg("v").alias("m"), F.stddev("v").alias("s")).first()
     assert abs(n.m - 1000) < 4 and abs(n.s - 50) < 3
+
+
+def test_threshold_halves_round_in_binary(spark):
+    pairs = [(114.13, 115.27), (53.79, 56.41), (15.44, 16.36), (27.69, 27.71), (10.0, 10.3)]  # halves of the medians: n.n5 and noise
+    d = spark.createDataFrame([(k, i * S, i, w) for k, p in enumerate(pairs) for i, w in enumerate(p)], "k bigint, ts_us bigint, seq bigint, w double")
+    got = {r.k: r.thr_on_w for r in ST.on_thresholds(d, ["k"], min_samples=2).collect()}
+    con = duckdb.connect()
+    for k, (lo, hi) in enumerate(pairs):
+        assert got[k] == con.execute("SELECT round_even(greatest(5, 0.5 * quantile_cont(v, 0.5)), 1) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [[lo, hi]]).fetchone()[0]
