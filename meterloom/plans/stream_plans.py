@@ -16,7 +16,7 @@ from .series_plans import H, hyst_sql, runs_sql
 def stream(t):
     s = ON.read_stream(t.spark, t.folder, t.events.schema, "events.parquet")
     ts = F.col("ts").cast("timestamp")
-    return s.select((F.col("user_id") % 5).alias("house"), "event_type", ts.alias("ts"), F.unix_micros(ts).alias("ts_us"), F.col("value").alias("w"))
+    return s.select((F.col("user_id") % 5).alias("house"), "event_type", ts.alias("ts"), F.unix_micros(ts).alias("ts_us"), F.col("value").alias("w"), F.col("event_id").alias("seq"))
 
 
 PARTS = 5
@@ -64,12 +64,13 @@ def r04(t):
     return L.replay(arriving(t), "arrival", PARTS, rule, "r04").where("next_us > 0")
 
 
-@query("r05_stream_gate", "house:i n:i sum_w:d", sql="SELECT user_id % 5 AS house, count(*) AS n, sum(value) AS sum_w FROM events WHERE value <= 200 GROUP BY 1")
+@query("r05_stream_gate", "house:i n:i sum_w:d", sql="SELECT user_id % 5 AS house, count(*) AS n, sum(CAST(value AS DECIMAL(18, 6))) AS sum_w FROM events WHERE value >= 0 AND value <= 200 GROUP BY 1")
 def r05(t):
-    """The stream joined with itself as duplicates: the gate keeps one of each."""
+    """The stream joined with itself as duplicates: the gate keeps one of each event, also of events of one house, type and stamp.
+    Gated values (0 to 200) are summed as decimals, so that the sum depends on no order."""
     s = stream(t)
     twice = s.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))).drop("x")
-    return ON.run_to_table(ON.ingest_gate(twice, ["house", "event_type"], max_w=200.0), "r05").groupBy("house").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum_w"))
+    return ON.run_to_table(ON.ingest_gate(twice, ["house", "event_type", "seq"], max_w=200.0), "r05").groupBy("house").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w").cast("decimal(18,6)")).alias("sum_w"))
 
 
 @query("r06_stream_classify", "device:s n:i", sql="""
