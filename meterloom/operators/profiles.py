@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .episodes import us
+from .frames import frame_stats
 from .joins import last_before, next_after, overlap_count, overlap_join, points_in
 from .ordered import DAY_US, join_dim
 from .quantiles import exact_quantiles
@@ -130,17 +131,10 @@ def cycle_features(cycles: DataFrame, runs: DataFrame, keys: Sequence[str], ids:
 
 
 def spike_and_settle(anchors: DataFrame, steps: DataFrame, keys: Sequence[str], *, spike_s: float, near_s: float, far_s: float,
-                     max_dt_s: float, bucket_us: int = DAY_US) -> DataFrame:
+                     max_dt_s: float, bucket_us: int = DAY_US // 4) -> DataFrame:
     """Largest step within `spike_s` of an anchor; median after minus median before."""
-    keys = list(keys)
-    a = (anchors.withColumn("_s0", F.col("anchor_us") - us(spike_s)).withColumn("_s1", F.col("anchor_us") + us(spike_s))
-         .withColumn("_p0", F.col("anchor_us") - us(far_s)).withColumn("_p1", F.col("anchor_us") + us(far_s)))
-    d = steps.select(*keys, "ts_us", "w", "st", "dt_s")
-    sp = (points_in(d.where(F.col("dt_s") <= max_dt_s), a.select(*keys, "anchor_us", "_s0", "_s1"), keys, start="_s0", end="_s1", closed="right",
-                    bucket_us=bucket_us).groupBy(*keys, "anchor_us").agg(F.max("st").alias("spike")))
-    lv = points_in(d, a.select(*keys, "anchor_us", "_p0", "_p1"), keys, start="_p0", end="_p1", bucket_us=bucket_us)
-    off = F.col("ts_us") - F.col("anchor_us")
-    # the frame around one anchor is bounded by far_s
-    lv = lv.groupBy(*keys, "anchor_us").agg(F.percentile(F.when(off < -us(near_s), F.col("w")), 0.5).alias("pre"),
-                                            F.percentile(F.when(off > us(near_s), F.col("w")), 0.5).alias("post"))
-    return lv.join(sp, [*keys, "anchor_us"], "left").select(*keys, "anchor_us", "spike", (F.col("post") - F.col("pre")).alias("settle"))
+    d = steps.select(*keys, "ts_us", "w", F.when(F.col("dt_s") <= max_dt_s, F.col("st")).alias("_st"))
+    spike, near, far = us(spike_s), us(near_s), us(far_s)
+    got = frame_stats(anchors, d, keys, "anchor_us", {"spike": ("max", "_st", 1 - spike, spike + 1), "_pre": ("median", "w", -far, -near),
+                                                      "_post": ("median", "w", near + 1, far + 1)}, chunk_us=bucket_us)
+    return got.select(*keys, "anchor_us", "spike", (F.col("_post") - F.col("_pre")).alias("settle"))
