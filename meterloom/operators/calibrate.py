@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .episodes import numbered, on_mark, state_runs, us
+from .frames import frame_stats
 from .joins import points_in
 from .ordered import DAY_US, bucket_of, join_dim, ordered_scan
 from .profiles import DWELL_CLAMP_S, MU_MIN_W, SIGMA_FLOOR_W, onset_interference
@@ -71,9 +72,7 @@ def pre_press_level(presses: DataFrame, mains: DataFrame, keys: Sequence[str], *
                     bucket_us: int = DAY_US) -> DataFrame:
     """Median mains in [press - span, press - gap); `fallback` under three rows."""
     keys = list(keys)
-    a = presses.select(*keys, "press_us", (F.col("press_us") - us(span_s)).alias("_a"), (F.col("press_us") - us(gap_s)).alias("_z"))
-    g = (points_in(mains.select(*keys, "ts_us", "w"), a, keys, start="_a", end="_z", closed="left", bucket_us=bucket_us)
-         .groupBy(*keys, "press_us").agg(F.percentile("w", 0.5).alias("_m"), F.count("w").alias("_n")))  # rows bounded by span_s
+    g = frame_stats(presses, mains, keys, "press_us", {"_m": ("median", "w", -us(span_s), -us(gap_s)), "_n": ("count", "w", -us(span_s), -us(gap_s))}, chunk_us=bucket_us)
     return presses.join(g, [*keys, "press_us"], "left").withColumn(
         "level_w", F.when(F.coalesce("_n", F.lit(0)) >= 3, F.col("_m")).otherwise(fallback)).drop("_m", "_n")
 

@@ -105,7 +105,8 @@ def m10(t):
 WITH pr AS (SELECT house, device, ts_us AS press_us FROM channels WHERE w < 12)
 SELECT pr.house, pr.device, press_us, CASE WHEN count(m.w) >= 3 THEN quantile_cont(m.w, 0.5) ELSE 0 END AS level_w FROM pr LEFT JOIN mains m ON m.house = pr.house AND m.ts_us >= press_us - 7200000000 AND m.ts_us < press_us - 600000000 GROUP BY 1, 2, 3""")
 def m11(t):
-    p = presses(t)
+    """Level before each press; presses of one device at one stamp are one."""
+    p = presses(t).distinct()
     lv = C.pre_press_level(p.select("house", "press_us").distinct(), t.mains, ["house"], span_s=7200, gap_s=600, bucket_us=HB)
     return p.join(lv, ["house", "press_us"])
 
