@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import last_before, next_after, points_in
+from .frames import frame_stats
+from .joins import last_before, next_after
 from .ordered import (DAY_US, as_col, bucket_of, halo_window, islands, merge_intervals,
                       ordered_scan, row_halo)
 
@@ -241,18 +242,21 @@ def activation_runs(df: DataFrame, keys: Sequence[str], *, on_w: float, off_w: f
                  F.coalesce(F.lead("ts_us").over(win), F.col("ts_us")).alias("_after")).where("_own")
     h = h.withColumn("_end", F.col("_be") & (F.col("_two") | (F.col("_rn") >= F.col("_len") - 3)))
     h = h.withColumn("_start", F.col("_ab") & (F.col("_pab") == F.lit(False)))
-    ends = h.where("_end").select(*keys, "ts_us", "_after")
-    runs = next_after(h.where("_start").select(*keys, "ts_us"), ends, keys, ["_after"], chunk_us=chunk_us)
-    runs = (runs.where(F.col("n_ts_us").isNotNull())
-            .select(*keys, F.col("ts_us").alias("t0_us"), F.col("n__after").alias("t1_us")))
-    peak = (points_in(h.where("_own").select(*keys, "ts_us", "sm"), runs, keys, start="t0_us", end="t1_us",
-                      bucket_us=chunk_us)
-            .groupBy(*keys, "t0_us", "t1_us").agg(F.max("sm").alias("_peak")))
-    base = (points_in(df.select(*keys, "ts_us", "w"), peak.withColumn("_b0", F.col("t0_us") - us(base_s)), keys,
-                      start="_b0", end="t0_us", closed="left", bucket_us=chunk_us)
-            .groupBy(*keys, "t0_us").agg(F.percentile("w", 0.5).alias("_base")))
-    return (peak.join(base, [*keys, "t0_us"], "left")
-            .select(*keys, "t0_us", "t1_us", (F.col("_peak") - F.col("_base")).alias("dp_w"),
+    level = h.select(*keys, "ts_us", "sm")
+    keys, numbers = list(keys), bucket_of("_rn", rows_per_chunk)
+    # rows up to an end form a stretch; every start in it shares that end, so a run's peak is a running maximum back from the end
+    h = h.select(*keys, "ts_us", "_rn", "sm", "_start", F.col("_end").cast("int").alias("_e"), F.when(F.col("_end"), F.col("_after")).alias("_stop"))
+    h = ordered_scan(h, keys, ["_rn"], numbers, bfill={"_t1": "_stop"}, running_sum={"_ends": "_e"})
+    h = h.withColumn("_stretch", F.col("_ends") - F.col("_e")).withColumn("_back", -F.col("_rn")).where("_t1 IS NOT NULL")
+    h = ordered_scan(h, [*keys, "_stretch"], ["_back"], bucket_of("_back", rows_per_chunk), running_max={"_high": "sm"})
+    runs = h.where("_start").groupBy(*keys, F.col("ts_us").alias("t0_us"), F.col("_t1").alias("t1_us")).agg(F.max("_high").alias("_high"))
+    # the row after the end, and other rows at the first and last stamp, count too
+    stamps = level.groupBy(*keys, F.col("ts_us").alias("_t")).agg(F.max("sm").alias("_sm"))
+    at = lambda c, o: stamps.select(*keys, F.col("_t").alias(c), F.col("_sm").alias(o))
+    runs = runs.join(at("t0_us", "_sm0"), [*keys, "t0_us"]).join(at("t1_us", "_sm1"), [*keys, "t1_us"])
+    base = frame_stats(runs, df, keys, "t0_us", {"_base": ("median", "w", -us(base_s), 0)})
+    return (runs.join(base, [*keys, "t0_us"], "left")
+            .select(*keys, "t0_us", "t1_us", (F.greatest("_high", "_sm0", "_sm1") - F.col("_base")).alias("dp_w"),
                     ((F.col("t1_us") - F.col("t0_us")) / 1e6).alias("dur_s")))
 
 
