@@ -19,6 +19,7 @@ from ..operators.ordered import DAY_US, bucket_of, join_dim, ordered_scan
 UNIX_COLUMNS = ("unixtime", "unix", "unix_ts", "unixts", "time")
 TIME_KEYS = ("timestamp", "Timestamp", "time", "Time", "datetime")
 POWER_KEYS = ("active_power_W", "power_W", "Power_W", "power", "active_power", "load_W")
+BIG_SECONDS = 1e8  # fixed value: unix seconds are larger
 APPLIANCE = r"^([A-Za-z0-9_]+)_power_?[Ww]$"
 
 
@@ -102,12 +103,14 @@ def time_decision(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Numeric in over 99.9 % of rows with a median magnitude over 1e8 means unix
     seconds; else parseable dates in over 99.9 % of rows; else the column stays text.
     """
-    from ..operators.quantiles import exact_quantiles
-
-    tall = df.unpivot([], list(columns), "column", "v").withColumn("x", F.abs(number("v")))
-    g = tall.groupBy("column").agg(F.avg(F.col("x").isNotNull().cast("int")).alias("num"), F.avg(F.try_to_timestamp("v").isNotNull().cast("int")).alias("dt"))
-    g = g.join(exact_quantiles(tall, ["column"], {"mid": ("x", 0.5)}), "column", "left")
-    kind = F.when((F.col("num") > 0.999) & (F.col("mid") > 1e8), "seconds").when(F.col("dt") > 0.999, "datetime").otherwise("none")
+    tall = df.unpivot([], list(columns), "column", "v").withColumn("x", F.abs(number("v"))).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    big = F.col("x") > BIG_SECONDS
+    g = tall.groupBy("column").agg(F.avg(number("v").isNotNull().cast("int")).alias("num"), F.avg(F.try_to_timestamp("v").isNotNull().cast("int")).alias("dt"),
+                                   F.count_if(big).alias("_above"), F.count_if(~big).alias("_under"), F.min(F.when(big, F.col("x"))).alias("_next"), F.max(F.when(~big, F.col("x"))).alias("_last"))
+    # whether the median is above the limit takes counts, and the two values beside the limit where it lies between them; stamps
+    # are nearly all different and close to each other, ranking them would put a column into one task
+    above = (F.col("_above") > F.col("_under")) | ((F.col("_above") == F.col("_under")) & ((F.col("_last") + (F.col("_next") - F.col("_last")) * 0.5) > BIG_SECONDS))
+    kind = F.when((F.col("num") > 0.999) & above, "seconds").when(F.col("dt") > 0.999, "datetime").otherwise("none")
     return g.select("column", "num", "dt", kind.alias("decision"))
 
 

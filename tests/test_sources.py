@@ -61,6 +61,16 @@ def test_time_and_typing(spark):
     assert dict(TX.apply_typing(d, pol).dtypes) == {"a": "double", "b": "string", "c": "string", "d": "string"}
 
 
+def test_median_at_the_limit_of_unix_seconds(spark):
+    cases = {"odd_above": [5, 2e8, 3e8], "odd_under": [5, 6, 3e8], "even_above": [5, 2e8], "even_under": [5, 1.5e8], "same": [1e8, 1e8], "negative": [-3e8, -2e8, 7], "one": [2e8], "nan": ["nan", 2e8]}
+    for name, v in cases.items():
+        d = spark.createDataFrame([(str(x),) for x in v], "c string")
+        want = "seconds" if np.nanmedian(np.abs(np.array(v, float))) > 1e8 else "none"
+        got = TX.time_decision(d, ["c"])
+        assert got.first().decision == want, name
+        assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()  # a column of near-unique stamps is never ranked
+
+
 def test_day_files_and_local_midnight(spark, tmp_path):
     (tmp_path / "2012-07-01.csv").write_text("1,2\n3,4\n5\n")
     got = TX.read_day_files(spark, str(tmp_path / "*.csv"), 2, "Europe/Zurich").orderBy("ts_us").collect()
