@@ -15,19 +15,20 @@ from pyspark.sql import functions as F
 from .ordered import as_col, join_dim, ordered_scan
 
 
-def value_bucket(v: Column) -> Column:
+def value_bucket(v: Column, per_octave: int = 64) -> Column:
     """Monotone bucket of a double: 64 buckets per power of two, both signs."""
-    return (F.signum(v) * F.floor(64 * F.log2(F.lit(1.0) + F.abs(v) * 1e6))).cast("bigint")
+    return (F.signum(v) * F.floor(per_octave * F.log2(F.lit(1.0) + F.abs(v) * 1e6))).cast("bigint")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str],
                     spec: Mapping[str, tuple[str | Column, float]],
-                    count: Mapping[str, str | Column] | None = None) -> DataFrame:
+                    count: Mapping[str, str | Column] | None = None, *, per_octave: int = 64) -> DataFrame:
     """One row per key with linear-interpolation quantiles (nulls ignored).
 
     `spec` maps an output name to (input column, probability). Columns are
     ranked together in one pass; `count` maps outputs to the number of
-    non-null values of a column.
+    non-null values of a column. A task ranks the distinct values of a key in one bucket,
+    `per_octave` of which make a power of two: few suit many keys of few values.
     """
     keys = list(keys)
     cols: dict[str, Column] = {}
@@ -48,7 +49,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str],
             else df.select(*keys, F.explode(F.array(*vals)).alias("_x")).select(*keys, "_x._k", "_x._v"))
     freq = (tall.where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_k", "_v")
             .agg(F.count(F.lit(1)).alias("_n")))
-    ranked = ordered_scan(freq, [*keys, "_k"], ["_v"], value_bucket(F.col("_v")),
+    ranked = ordered_scan(freq, [*keys, "_k"], ["_v"], value_bucket(F.col("_v"), per_octave),
                           running_sum={"_hi": "_n"}, total={"_tot": "_n"})
 
     def at(i, k):

@@ -391,13 +391,16 @@ SELECT l_suppkey, quantile_cont(CASE WHEN l_quantity > 10 THEN l_extendedprice /
  avg(CASE WHEN l_quantity > 10 AND pq <= 10 THEN l_discount - pd END) AS drop_mean FROM x GROUP BY l_suppkey""")
 def a33(t):
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    month = F.date_format("l_shipdate", "yyyyMM").cast("bigint")
-    x = ordered_scan(t.lineitem.select("l_suppkey", *order), ["l_suppkey"], order, month, lag={"pd": "l_discount", "pq": "l_quantity"})
+    # one lag of both values, years as chunks: a supplier's rows of a month are few, and summaries as many as rows cost as much
+    both = F.struct(F.col("l_discount").alias("pd"), F.col("l_quantity").alias("pq"))
+    x = ordered_scan(t.lineitem.select("l_suppkey", *order), ["l_suppkey"], order, F.year("l_shipdate"), lag={"p": both})
     on = F.col("l_quantity") > 10
     x = x.select("l_suppkey", F.when(on, F.col("l_extendedprice") / F.col("l_quantity")).alias("ratio"), F.when(on, F.col("l_tax")).alias("tax"),
-                 F.when(on & (F.col("pq") <= 10), F.col("l_discount") - F.col("pd")).alias("drop"))
-    q = exact_quantiles(x, ["l_suppkey"], {"ratio_p50": ("ratio", 0.5), "tax_on_p50": ("tax", 0.5)})
-    return q.join(x.groupBy("l_suppkey").agg(F.avg("drop").alias("drop_mean")), "l_suppkey")
+                 F.when(on & (F.col("p.pq") <= 10), F.col("l_discount") - F.col("p.pd")).alias("drop"))
+    li = t.lineitem.where(on)
+    q = exact_quantiles(li.select("l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("ratio"), F.col("l_tax").alias("tax")), ["l_suppkey"],
+                        {"ratio_p50": ("ratio", 0.5), "tax_on_p50": ("tax", 0.5)}, per_octave=1)
+    return x.groupBy("l_suppkey").agg(F.avg("drop").alias("drop_mean")).join(q, "l_suppkey", "left")
 
 
 @query("a34_phase_residual", "house:i max_abs:d mean_abs:d", sql="""
