@@ -138,6 +138,19 @@ def gated_episodes(df: DataFrame, keys: Sequence[str], claim: Column, gated: Col
     return (m.withColumn("dur_s", (F.col("t_off_us") - F.col("t_on_us")) / 1e6).where(F.col("dur_s") >= dwell))
 
 
+def run_episodes(runs: DataFrame, keys: Sequence[str], *, merge_gap_s: float, min_dwell_s: float, gate_split_rows: int,
+                 chunk_us: int = DAY_US) -> DataFrame:
+    """`gated_episodes` of rows that come summed up to runs (ts_us, seq, last_us, claim, n_gated), which may go on in the next
+    row of the same claim: keys, t_on_us, t_off_us, dur_s."""
+    chunk = bucket_of("ts_us", chunk_us)
+    d = ordered_scan(runs, keys, ["ts_us", "seq"], chunk, running_sum={"_gc": "n_gated"})
+    r = islands(d, keys, ["ts_us", "seq"], chunk, row={"ts": "ts_us", "z": "last_us", "gc": "_gc", "g": "n_gated"}, mark=F.col("claim")).where("state = 1")
+    r = r.select(*keys, F.col("first.ts").alias("t_on_us"), F.col("last.z").alias("t_off_us"), "first", "last")
+    m = merge_intervals(r, keys, "t_on_us", "t_off_us", us(merge_gap_s), chunk_us=8 * chunk_us,
+                        extra={"g0": F.col("first.gc") - F.col("first.g"), "g1": F.col("last.gc")}, veto=lambda p, c: (c["g0"] - p["g1"]) >= gate_split_rows)
+    return m.withColumn("dur_s", (F.col("t_off_us") - F.col("t_on_us")) / 1e6).where(F.col("dur_s") >= min_dwell_s)
+
+
 def sample_episodes(df: DataFrame, keys: Sequence[str], on: Column, *, gap_samples: int = 2,
                     chunk_us: int = DAY_US) -> DataFrame:
     """ON runs bridged over at most `gap_samples` rows: i_on, i_off, n_samples."""
