@@ -236,9 +236,9 @@ def m20(t):
     for cad, series in ((600, test), (3600, hourly)):
         for arm, rows in sources:
             p = rows.withColumn("p_stay", F.transform("p_stay", lambda x: D.rescale_stay(x, 600.0, float(cad)))) if cad != 600 else rows  # noqa: B023
-            dec = D.decode(series, p, ["house"], cadence_s=float(cad), chunk_steps=2048, warm_steps=64)
-            dec = cut_lineage(dec.join(rows.select("house", "row_id", "k", "draw"), ["house", "row_id"])).withColumn("w", F.lit(1.0))
-            e = X.gated_episodes(dec, ["house", "k", "draw", "device"], D.claimed(), F.col("gated") == 1, merge_gap_s=7200, min_dwell_s=600, gate_split_rows=2, chunk_us=CH)
+            runs = D.decode_runs(series, p, ["house"], cadence_s=float(cad), chunk_steps=2048, warm_steps=64)
+            runs = cut_lineage(runs.join(rows.select("house", "row_id", "k", "draw"), ["house", "row_id"]))
+            e = X.run_episodes(runs, ["house", "k", "draw", "device"], merge_gap_s=7200, min_dwell_s=600, gate_split_rows=2, chunk_us=CH)
             arms.append(e.select(F.lit(arm).alias("arm"), F.lit(cad).alias("cadence_s"), "k", "draw", *EP_COLS))
         a = X.anchor_episodes(series, ["house"], 60.0, min_dwell_s=600, merge_gap_s=7200, hold_s=HOLD_S, chunk_us=CH)
         a = a.join(ep.select(*KEYS).distinct(), "house")
