@@ -11,7 +11,7 @@ with a smaller id is a duplicate and is removed; windows are judged on the input
 How the work is spread: the rows that are grouped are blocks (about one for 18 words), by partial
 aggregation, so that a passage that stands in a third of all documents is one row per task before
 the shuffle. Only windows of boundary blocks are compared singly, and of equal boundary blocks only
-those of the smallest document. Texts are shuffled twice by their own key and never collected.
+those of the smallest document. Texts are shuffled twice by their own key, compressed, and never collected.
 Blocks and windows are compared by two 64-bit hashes (of the anchor and of the block or window).
 
 Defined results: null and empty texts have no words; a text of fewer than `width` words keeps all.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .rows import slices
+from .rows import packed, slices, unpack
 
 WIDTH, ANCHOR = 50, 15
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -111,10 +111,10 @@ def _windows_task(width: int, anchor: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for batch in slices(batches):
+        for batch in slices(batches, packs=True):
             parts = []
             for doc, key, text, ask in zip(*[batch.column(c).to_pylist() for c in ("doc", "key", "text", "ask")]):
-                a, _, first, many, hashed = blocks(text.encode("utf-8", "surrogatepass").split(), known, width, anchor)
+                a, _, first, many, hashed = blocks(unpack(text).split(), known, width, anchor)
                 mine = np.isin(first, np.array(ask))
                 a, first, many = a[mine], first[mine], many[mine]
                 at = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
@@ -156,7 +156,7 @@ def duplicate_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # boundary blocks: their windows, of the smallest document that has the block
     ask = parsed.filter("doc = lo AND edge").groupBy("doc", "key").agg(F.collect_set("first").alias("ask"))
     task, schema = _windows_task(width, anchor)
-    windows = cut_lineage(texts.join(ask, ["doc", "key"]).mapInArrow(task, schema))
+    windows = cut_lineage(packed(texts).join(ask, ["doc", "key"]).mapInArrow(task, schema))
     lowest = windows.groupBy("anchor", "window").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor", "window", "lo")
     single = windows.join(lowest, ["anchor", "window"]).filter("doc > lo").select("doc", "key", F.col("at").alias("first"), F.lit(1).alias("many"))
     runs = F.collect_set(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("many")).alias("b")))
@@ -168,13 +168,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     runs = duplicate_windows(docs, doc_id, text, width, anchor)
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    rows = rows.join(runs, ["doc", "key"], "left").select(*names, "text", "runs")
+    rows = packed(rows).join(runs, ["doc", "key"], "left").select(*names, "text", "runs")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, packs=True):
             n, spans, kept = [], [], []
             for t, r in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                words = (t or "").encode("utf-8", "surrogatepass").split()
+                words = unpack(t).split() if t else []
                 cut = merged_spans([(x["a"], x["b"]) for x in r or ()], width)
                 n.append(len(words))
                 spans.append([{"a": a, "b": b} for a, b in cut])
